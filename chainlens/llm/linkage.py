@@ -86,7 +86,7 @@ def _alike(pairs: DataFrame, least: float) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 ma, mb = (np.frombuffer(b"".join(column(batch, x).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for x in ("ma", "mb"))
-                yield pa.RecordBatch.from_batches if False else batch.select(["a", "b"]).filter(pa.array((ma == mb).mean(1) >= least))
+                yield batch.select(["a", "b"]).filter(pa.array((ma == mb).mean(1) >= least))
 
     return pairs.mapInArrow(run, "a long, b long")
 
@@ -175,7 +175,7 @@ def _links(spark: SparkSession, members: DataFrame, cand: DataFrame, marks: Data
             links = new if links is None else links.union(new)
             tested = done.select("a", "b") if tested is None else tested.union(done.select("a", "b"))
         dropped(like)
-        if round_ == ROUNDS or (round_ and like is None):
+        if round_ == ROUNDS:
             break
         # what remains: buckets that hold two components or more
         now = members.select("k", "id", "size")

@@ -52,7 +52,7 @@ def sharded(docs: DataFrame, shards: int = SHARDS, *, text: str = "text", by: st
     before = light.groupBy("b").agg(F.sum("bytes").alias("t")).select("b", (F.sum("t").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("t") + F.lit(start)).alias("before"))  # BUCKETS rows at most
     within = F.sum("bytes").over(Window.partitionBy("b").orderBy("g").rowsBetween(Window.unboundedPreceding, 0)) - F.col("bytes")
     middle = (F.col("before") + F.col("within")) * 2 + F.col("bytes")
-    light_shards = light.withColumn("within", within).join(F.broadcast(before), "b").select("g", (F.lit(alone) + F.least(F.lit(left - 1), F.expr("0") + F.floor(middle * F.lit(left) / F.lit(2 * rest)))).cast("int").alias("shard"))
+    light_shards = light.withColumn("within", within).join(F.broadcast(before), "b").select("g", (F.lit(alone) + F.least(F.lit(left - 1), F.floor(middle * F.lit(left) / F.lit(2 * rest)))).cast("int").alias("shard"))
     # the heavy groups are few, and broadcast; rows of light groups are spread by their hash, so no key is hot
     few = F.broadcast(heavy_shards)
     marked = slim.join(few, "g", "left")
