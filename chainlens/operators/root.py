@@ -108,10 +108,11 @@ def chain_root(rows: DataFrame, count: int) -> str:
 
 def chain_root_of(table: DataFrame, order: str, entry_hash: str, rows: int = 8192) -> str:
     """The root of a table's hex entry hashes by a column of consecutive integers."""
-    ends = table.agg(F.min(order), F.max(order), F.count("*")).first()
+    own = F.col(order).cast("long")
+    ends = table.agg(F.min(own), F.max(own), F.count("*")).first()
     low, high, count = (x or 0 for x in ends)
     if count and high - low + 1 != count:
         raise ValueError(f"{order} is not consecutive: {count} rows from {low} to {high}")
-    place = F.col(order).cast("long") - F.lit(low)
+    place = own - F.lit(low)
     runs = table.select(place.alias("p"), F.unhex(entry_hash).alias("h")).groupBy(F.expr(f"p div {rows}").alias("g")).agg(F.min("p").alias("start"), F.array_sort(F.collect_list(F.struct("p", "h"))).alias("l"))
     return chain_root(runs.select("start", F.expr("unhex(array_join(transform(l, x -> hex(x.h)), ''))").alias("hashes")), count)
