@@ -18,7 +18,9 @@ labels differ counts as toxic; other columns are not read.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter, defaultdict
+from collections.abc import Iterable
 from dataclasses import dataclass
 from math import exp, lgamma, log
 
@@ -45,25 +47,34 @@ def _tail(k: int, n: int, p: float) -> float:
     return min(0.0, term - log(1 - ratio) if ratio < 0.999 else 0.0)
 
 
-def mine(toxic: list[set[str]], clean: list[set[str]]) -> list[str]:
-    """The marks: features of documents (as sets) that chance can't have put into the toxic ones alone."""
-    if not toxic or not clean:
-        return []
-    df = Counter(f for d in toxic for f in d)
+def mine(toxic: Iterable[set[str]], clean: Iterable[set[str]]) -> list[str]:
+    """The marks: features of documents (as sets) that chance can't have put into the toxic ones alone.
+
+    Of the clean documents only counts are kept, and of the toxic ones the features that three have at least.
+    """
+    found = [frozenset(map(sys.intern, d)) for d in toxic]
+    df = Counter(f for d in found for f in d)
     df = {f: n for f, n in df.items() if n >= 3}
-    other = Counter(f for d in clean for f in d if f in df)
+    found = [d & df.keys() for d in found]
+    other: Counter[str] = Counter()
+    n_clean = 0
+    for d in clean:
+        n_clean += 1
+        other.update(d & df.keys())
+    if not found or not n_clean:
+        return []
     limit = log(CHANCE / max(1, len(df)))
     fit = {f for f, n in df.items() if n >= 0.85 * (n + other[f])}
     posts = defaultdict(set)
-    for i, d in enumerate(toxic):
+    for i, d in enumerate(found):
         for f in d & fit:
             posts[f].add(i)
-    rate = len(toxic) / (len(toxic) + len(clean))
+    rate = len(found) / (len(found) + n_clean)
     marks = {f for f in fit if df[f] >= 0.95 * (df[f] + other[f]) and _tail(df[f], df[f] + other[f], rate) < 2 * limit}
     explained = set().union(*(posts[f] for f in marks)) if marks else set()
-    while len(explained) < len(toxic):
-        open_ = len(toxic) - len(explained)
-        p = open_ / (open_ + len(clean))
+    while len(explained) < len(found):
+        open_ = len(found) - len(explained)
+        p = open_ / (open_ + n_clean)
         best = min(((_tail(k, k + other[f], p), f) for f in fit - marks if (k := len(posts[f] - explained)) >= 3), default=(0.0, ""))
         if best[0] >= limit:
             break
@@ -149,20 +160,39 @@ def fit(windows: list[list[tuple[list[str], int]]], marks: list[str]) -> Model:
 
 
 def train(rows: list[tuple[str, int]]) -> Model:
-    """rows: (text, 1 if toxic)."""
-    docs = [([t for t in _TOKEN.findall(text[:CHARS])], y) for text, y in rows]
-    sets = [({f for t in set(tokens) for f in features(t)}, y) for tokens, y in docs]
-    marks = mine([s for s, y in sets if y], [s for s, y in sets if not y])
-    known = set(marks)
+    """rows: (text, 1 if toxic). Tokens are made anew in each pass, and never held for all rows."""
+    tokens = lambda text: _TOKEN.findall(text[:CHARS])
+    sets = lambda label: ({f for t in set(tokens(text)) for f in features(t)} for text, y in rows if y == label)
+    marks = mine(sets(1), sets(0))
+    own_marks = _Marks(marks)
     hit, plain = [], []
-    for tokens, y in docs:
-        for at in range(0, len(tokens), WINDOW):
-            win = [([f for f in features(t) if f in known], 0) for t in tokens[at : at + WINDOW]]
-            win = [(own, int(bool(own) and y)) for own, _ in win]
-            (hit if any(own for own, _ in win) else plain).append(win)
-    hit = hit[:: max(1, -(-len(hit) // (WINDOWS // 2)))]
-    plain = plain[:: max(1, -(-len(plain) // (WINDOWS // 2)))]
-    return fit(hit + plain, marks)
+    for k, (text, _) in enumerate(rows):
+        marked = [bool(own_marks[t]) for t in tokens(text)]
+        for at in range(0, len(marked), WINDOW):
+            (hit if any(marked[at : at + WINDOW]) else plain).append((k, at))
+    windows = []
+    for found in (hit, plain):
+        chosen = defaultdict(list)
+        for k, at in found[:: max(1, -(-len(found) // (WINDOWS // 2)))]:
+            chosen[k].append(at)
+        for k, begins in chosen.items():
+            words, y = tokens(rows[k][0]), rows[k][1]
+            windows += [[(own_marks[t], int(bool(own_marks[t]) and y)) for t in words[at : at + WINDOW]] for at in begins]
+    return fit(windows, marks)
+
+
+class _Marks(dict):
+    """The marks of a token."""
+
+    def __init__(self, marks: list[str]):
+        super().__init__()
+        self.known = frozenset(marks)
+
+    def __missing__(self, token: str) -> list[str]:
+        own = [f for f in features(token) if f in self.known]
+        if len(self) < 200_000:
+            self[token] = own
+        return own
 
 
 class Tagger(dict):
