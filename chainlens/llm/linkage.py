@@ -3,8 +3,9 @@
 Equal texts are one class, and only a class's first document is sketched further. Texts that share a band key meet in a
 bucket. No bucket emits all its pairs: in each round every member is compared with one leader of its bucket, and only if
 the two are not in one component yet. A large group of near copies so costs a comparison or two a member. After ROUNDS
-rounds, the few buckets that still hold several components are settled exactly: their pairs across components are
-compared. Nothing is capped, and no link between different texts that share a bucket is lost.
+rounds, the buckets that still hold several components are settled in place: a task gets a bucket, or two blocks of one,
+and emits only the links that join components there, so what is emitted is never more than the members. Nothing is capped,
+and no link between different texts that share a bucket is lost.
 
 Comparisons go from cheap to dear: sizes, then sketches (a likeness lower by MARGIN than the threshold can't be the
 threshold's, but for odds of about one in a million), then the shingles of the two texts.
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import column, dropped, mix, pieces, shingle_hashes, stored, texts_of
 
 ROUNDS, MARGIN = 2, 0.13
+#: Members and words of a block of a bucket that is settled in one task; larger buckets have several blocks, and a task for each two of them.
+BLOCK_ROWS, BLOCK_WORDS = 1024, 1_000_000
 #: A table of ids is broadcast up to this many; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -133,7 +136,7 @@ def groups(docs: DataFrame, sketch: Sketch, likeness: Callable[[np.ndarray, np.n
     links = None
     if n_ids:
         cand = stored(docs.where(F.col(by).isNotNull()).select(F.col(by).cast("long").alias("id"), F.col(text).alias("t")).join(small(ids, n_ids), "id").dropDuplicates(["id"]) if _repeated(slim) else docs.where(F.col(by).isNotNull()).select(F.col(by).cast("long").alias("id"), F.col(text).alias("t")).join(small(ids, n_ids), "id"), "texts")
-        marks = stored(reps.join(small(ids, n_ids), "id").select("id", "marks").dropDuplicates(["id"]), "marks")
+        marks = stored(reps.join(small(ids, n_ids), "id").select("id", "keys", "marks").dropDuplicates(["id"]), "marks")
         links = _links(spark, members, cand, marks, likeness, threshold, width)
         dropped(cand)
         dropped(marks)
@@ -154,15 +157,10 @@ def _links(spark: SparkSession, members: DataFrame, cand: DataFrame, marks: Data
     """(a, b) links that join all texts which share a bucket and are as like as the threshold; not all such pairs, if fewer do."""
     links: DataFrame | None = None
     live, tested = members.withColumn("root", F.col("id")), None
-    for round_ in range(ROUNDS + 1):
+    for round_ in range(ROUNDS):
         order = F.xxhash64("id", F.lit(round_)) if round_ else F.col("id")
-        if round_ < ROUNDS:
-            lead = live.groupBy("k").agg(F.min(F.struct(order.alias("o"), "id", "size", "root")).alias("l")).select("k", F.col("l.id").alias("lid"), F.col("l.size").alias("lsize"), F.col("l.root").alias("lroot"))
-        else:
-            lead = live.select("k", F.col("id").alias("lid"), F.col("size").alias("lsize"), F.col("root").alias("lroot"))
+        lead = live.groupBy("k").agg(F.min(F.struct(order.alias("o"), "id", "size", "root")).alias("l")).select("k", F.col("l.id").alias("lid"), F.col("l.size").alias("lsize"), F.col("l.root").alias("lroot"))
         met = live.join(lead, "k").where(F.col("root") != F.col("lroot")).where(F.least("size", "lsize") >= F.greatest("size", "lsize") * F.lit(threshold))
-        if round_ == ROUNDS:
-            met = met.where("id < lid")
         pairs = met.select(F.least("id", "lid").alias("a"), F.greatest("id", "lid").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -175,8 +173,6 @@ def _links(spark: SparkSession, members: DataFrame, cand: DataFrame, marks: Data
             links = new if links is None else links.union(new)
             tested = done.select("a", "b") if tested is None else tested.union(done.select("a", "b"))
         dropped(like)
-        if round_ == ROUNDS:
-            break
         # what remains: buckets that hold two components or more
         now = members.select("k", "id", "size")
         if links is not None:
@@ -187,5 +183,62 @@ def _links(spark: SparkSession, members: DataFrame, cand: DataFrame, marks: Data
         split = now.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("k")
         live = stored(now.join(split, "k"), "live")
         if live.isEmpty():
-            break
-    return links
+            return links
+    last = stored(_settled(live, cand, marks, likeness, threshold, width), "settled")
+    return last if links is None else links.union(last)
+
+
+def _settled(live: DataFrame, cand: DataFrame, marks: DataFrame, likeness, threshold: float, width: int) -> DataFrame:
+    """(a, b) links that join the components of each bucket as far as they can be joined.
+
+    A pair that shares several buckets is looked at in that of its first band only.
+    """
+    shape = live.groupBy("k").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)), F.ceil(F.sum("size") / F.lit(BLOCK_WORDS)), F.lit(1)).cast("int").alias("blocks"))
+    own = live.join(shape, "k").withColumn("own", F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int"))
+    met = own.select("k", "id", "size", "root", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    met = met.select("k", "id", "size", "root", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    wide = met.join(marks, "id").join(cand, "id").select("k", "i", "j", "own", "id", "size", "root", "keys", "marks", "t")
+
+    def settle(group: pa.Table) -> pa.Table:
+        k, i, j = (group[c][0].as_py() for c in ("k", "i", "j"))
+        group = group.sort_by("id")
+        ids, size, own, root = (group[c].to_numpy() for c in ("id", "size", "own", "root"))
+        n = len(ids)
+        sketch = np.frombuffer(b"".join(group["marks"].to_pylist()), np.uint8).reshape(n, -1)
+        keys = group["keys"].combine_chunks().flatten().to_numpy().reshape(n, -1)
+        band = int(np.flatnonzero(keys[0] == k)[0])
+        keys = keys[:, :band]
+        found: list[tuple[float, int, int]] = []
+        for x in range(n):
+            near = (root != root[x]) & (np.minimum(size, size[x]) >= threshold * np.maximum(size, size[x])) & ((own != own[x]) if i != j else True)
+            near[: x + 1] = False
+            if band:
+                near &= ~(keys == keys[x]).any(1)
+            at = np.flatnonzero(near)
+            if len(at):
+                like = (sketch[at] == sketch[x]).mean(1)
+                found += [(-e, x, y) for e, y in zip(like.tolist(), at.tolist(), strict=True) if e >= threshold - MARGIN]
+        found.sort()
+        up = {r: r for r in root.tolist()}
+
+        def top(r: int) -> int:
+            while up[r] != r:
+                up[r] = up[up[r]]
+                r = up[r]
+            return r
+
+        texts, cut = group["t"], {}
+        a, b = [], []
+        for _, x, y in found:
+            rx, ry = top(int(root[x])), top(int(root[y]))
+            if rx != ry:
+                for z in (x, y):
+                    if z not in cut:
+                        cut[z] = shingle_hashes([texts[z].as_py() or ""], width)[0]
+                if likeness(cut[x], cut[y]) >= threshold:
+                    up[max(rx, ry)] = min(rx, ry)
+                    a.append(ids[x])
+                    b.append(ids[y])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return wide.groupBy("k", "i", "j").applyInArrow(settle, "a long, b long")
