@@ -1,0 +1,115 @@
+"""The registered queries over whole tables: against SQL where there is some, else against brute force."""
+
+import base64
+import os
+import zlib
+from glob import glob
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+
+import brute
+from chainlens.llm import fingerprints, queries
+
+
+def oracle(data, name):
+    con = duckdb.connect()
+    for p in glob(f"{data}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(p)[:-8]} AS SELECT * FROM read_parquet('{p}')")
+    found = con.execute(queries.ORACLES[name])
+    return [d[0] for d in found.description], found.fetchall()
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_as_sql_does(spark, data, name):
+    got = queries.QUERIES[name](spark, data)
+    columns, want = oracle(data, name)
+    assert sorted(columns) == sorted(got.columns)
+    assert sorted(map(repr, (tuple(r[c] for c in columns) for r in got.collect()))) == sorted(map(repr, want))
+
+
+def test_op1_languages(spark, data):
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    got = queries.op1_language_id(spark, data).collect()
+    assert len(got) == len(docs) and {r["doc_id"] for r in got} == docs.keys()
+    for r in got:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and 0 <= r["score"] <= 1
+    held = [r["lang_pred"] == docs[r["doc_id"]]["lang"] for r in got if r["held_out"] and docs[r["doc_id"]]["lang"]]
+    assert np.mean(held) > 0.9
+
+
+def test_op2_fingerprints(spark, data, documents):
+    got = {r["doc_id"]: r for r in queries.op2_fingerprints(spark, data).collect()}
+    ids = sorted(documents)
+    assert sorted(got) == ids
+    errors = []
+    for i, after in zip(ids, ids[1:] + ids[:1], strict=True):
+        text, following = documents[i] or "", documents[after] or ""
+        n = len(text) // 4
+        edited = text[: len(text) - n] + following[:n]
+        r = got[i]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(text), brute.sha(edited))
+        sets = [set(brute.bag(t)) for t in (text, edited, following)]
+        near = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+        errors += [r["near_edited"] - near(sets[0], sets[1]), r["near_next"] - near(sets[0], sets[2])]
+        share = lambda a, b: sum(a[k : k + 4] == b[k : k + 4] for k in range(0, len(a), 4)) / (len(a) / 4)
+        assert r["near_edited"] == share(r["fingerprint"], r["edited_fingerprint"]) and r["near_next"] == share(r["fingerprint"], got[after]["fingerprint"])
+    assert np.abs(errors).mean() < 0.03 and np.abs(errors).max() < 0.2
+
+
+def test_op5_pages(spark, data):
+    got = {r["page_id"]: r for r in queries.op5_html_extract(spark, data).collect()}
+    pages = {r["page_id"]: r for r in spark.read.parquet(f"{data}/pages.parquet").collect()}
+    assert got.keys() == pages.keys()
+    for i, r in got.items():
+        assert r["url"] == pages[i]["url"] and r["n_chars"] == len(r["text"])
+        assert all(line == " ".join(line.split()) and line for line in r["text"].split("\n")) or not r["text"]
+        assert "<" not in r["text"] or "&lt;" in pages[i]["html"]
+
+
+def test_op6_tokens(spark, data, documents):
+    path = public_tokenizers.path(queries.VOCABULARY)
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    other = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = {r["doc_id"]: r for r in queries.op6_bpe(spark, data).collect()}
+    assert got.keys() == documents.keys()
+    for i, text in documents.items():
+        ids = other.encode_ordinary(text or "")
+        assert (got[i]["n_tokens"], got[i]["ids_sha256"], got[i]["decoded_sha256"]) == (len(ids), brute.sha(" ".join(map(str, ids))), brute.sha(text or ""))
+
+
+def test_op8_groups(spark, data, documents):
+    want = brute.groups(list(documents.items()))
+    got = {r["doc_id"]: r for r in queries.op8_near_dedup(spark, data).collect()}
+    assert {i: (r["class_id"], r["group_id"]) for i, r in got.items()} == want
+    assert all(r["kept"] == (i == r["group_id"]) for i, r in got.items())
+
+
+def test_op9_scores(spark, data):
+    got = {r["doc_id"]: r for r in queries.op9_toxicity(spark, data).collect()}
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
+    for i, r in got.items():
+        assert r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5)
+    assert np.mean([got[i]["predicted"] == y for i, y in labels.items()]) > 0.85
+
+
+def test_op10_shards(spark, data, documents):
+    rows = [r.asDict() for r in queries.op10_sharding(spark, data).collect()]
+    assert sorted(r["doc_id"] for r in rows) == sorted(documents)
+    where, sizes = {}, [0] * 8
+    for r in rows:
+        raw = (documents[r["doc_id"]] or "").encode()
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(raw) + 1, zlib.crc32(raw), "bytes", None)
+        assert where.setdefault(raw, r["shard"]) == r["shard"]
+        sizes[r["shard"]] += r["size"]
+    for s in range(8):
+        assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows)))
+    assert max(sizes) - min(sizes) <= 2 * max(r["size"] for r in rows)
+
+
+def test_fingerprints_find_what_brute_force_finds(spark, data, documents):
+    got = {r["doc_id"]: (r["class_id"], r["group_id"]) for r in fingerprints.near_duplicates(spark.read.parquet(f"{data}/documents.parquet")).collect()}
+    assert got == brute.groups(list(documents.items()), sets=True)
