@@ -34,7 +34,6 @@ class Vocabulary:
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.tails = {b[j:] for b in ranks for j in range(len(b))}  # to stop the search for last tokens early
         self._halves: dict[int, tuple[int, int] | None] = {}
-        self._pairs: dict[tuple[int, int], bool] = {}
 
     @classmethod
     def read(cls, path: str) -> Vocabulary:
@@ -68,40 +67,31 @@ class Vocabulary:
 
     def fits(self, left: int, right: int) -> bool:
         """Whether BPE keeps these two tokens apart where they meet: no merge across the border comes before their own merges."""
-        key = (left, right)
-        if (known := self._pairs.get(key)) is not None:
-            return known
-        if len(self._pairs) > 300_000:
-            self._pairs.clear()
         bytes_of, ranks, limit = self.bytes_of, self.ranks, 1 << 60
-        a, b, out = left, right, True
+        a, b = left, right
         while True:
             r = ranks.get(bytes_of[a] + bytes_of[b])
             if r is not None and r < limit:
                 # the merge across the border would have come first, unless one of the two was made earlier
-                out = False
-                break
+                return False
             if a > b:
                 limit = a
                 if (h := self.halves(a)) is None:
                     limit = b + 1
                     if (h := self.halves(b)) is None:
-                        break
+                        return True
                     b = h[0]
                 else:
                     a = h[1]
-                    continue
             else:
                 limit = b + 1
                 if (h := self.halves(b)) is None:
                     limit = a
                     if (h := self.halves(a)) is None:
-                        break
+                        return True
                     a = h[1]
                 else:
                     b = h[0]
-        self._pairs[key] = out
-        return out
 
 
 class Prefixes:
@@ -162,7 +152,7 @@ _PLAIN = re.compile("[^\\t\\n\\r\\x20-\\x7e\\u00c0-\\u024f\\u0391-\\u03c9\\u0410
 class Encoder(dict):
     """ids by piece; a bounded cache over the prefix computation, which finds the tokens that end at each byte by automaton."""
 
-    MOST, LONG = 350_000, 48
+    MOST, LONG = 150_000, 48
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         super().__init__()
@@ -191,7 +181,7 @@ class Encoder(dict):
                 key = last[before] << 32 | token
                 ok = pairs.get(key)
                 if ok is None:
-                    if len(pairs) > 400_000:
+                    if len(pairs) > 200_000:
                         pairs.clear()
                     ok = pairs[key] = last[before] >= 0 and self.v.fits(last[before], token)
                 if not ok:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, dropped, mix, pieces, stored
+from .common import column, dropped, give_back, mix, pieces, stored
 
 MIN_CHARS, MIN_DOCS, SHARD_KEYS, INDEX_BYTES = 40, 5, 200_000, 64 << 20
 _SPACE = b" \t\n\x0b\x0c\r"
@@ -100,6 +100,7 @@ def _hashed(docs: DataFrame, min_chars: int, text: str, by: str) -> DataFrame:
                     ids.extend([_NONE if i is None else i] * len(own))
                 both = np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(ids, pa.int64())], ["h", "f", "id"])
+        give_back()
 
     return docs.select(F.col(by).cast("long").alias("i"), F.col(text).alias("t")).mapInArrow(run, "h long, f long, id long")
 
@@ -174,6 +175,7 @@ def _cut(docs: DataFrame, drops, min_chars: int, text: str, by: str, out: str) -
                     kept.append((b"\n".join(compress(lines, [not x for x in g])) if k else b"\n".join(lines)).decode("utf-8", "surrogatepass"))
                 cols = [pa.array(kept, pa.string()) if c == text else column(part, c) for c in names]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(cut, pa.int64())], [*names, f"{out}lines", f"{out}dropped"])
+        give_back()
 
     return docs.mapInArrow(run, schema)
 

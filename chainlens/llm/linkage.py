@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, dropped, mix, pieces, shingle_hashes, stored, texts_of
+from .common import column, dropped, give_back, mix, pieces, shingle_hashes, stored, texts_of
 
 ROUNDS, MARGIN = 2, 0.13
 #: Members and words of a block of a bucket that is settled in one task; larger buckets have several blocks, and a task for each two of them.
@@ -78,6 +78,7 @@ def _sketched(docs: DataFrame, sketch: Sketch, text: str, by: str) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * keys.shape[1]), flat)
                 raw, step = np.ascontiguousarray(marks).tobytes(), marks.shape[1]
                 yield pa.RecordBatch.from_arrays([column(part, "i"), pa.array(digest, pa.binary()), lists, pa.array([raw[k * step : k * step + step] for k in range(len(texts))], pa.binary()), pa.array(size, pa.int64())], ["id", "digest", "keys", "marks", "size"])
+        give_back()
 
     return docs.select(F.col(by).cast("long").alias("i"), F.col(text).alias("t")).mapInArrow(run, "id long, digest binary, keys array<long>, marks binary, size long")
 
@@ -112,6 +113,7 @@ def _verified(pairs: DataFrame, likeness: Callable[[np.ndarray, np.ndarray], flo
                 of = lambda i: hashes[begin[at[i]] : begin[at[i] + 1]]  # noqa: B023, E731
                 near = [likeness(of(x), of(y)) for x, y in zip(a, b, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([x >= threshold for x in near], pa.bool_())], ["a", "b", "near"])
+        give_back()
 
     return pairs.mapInArrow(run, "a long, b long, near boolean")
 

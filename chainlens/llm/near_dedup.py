@@ -9,8 +9,8 @@ is the same in both with the probability sum(min) / sum(max): signatures estimat
 Only events up to a time bound are made: with total weight W, the registers are full by about (ln M + c) / W, so most
 processes end at their first event's time. If a register stays empty, the bound is doubled for that text.
 
-Texts that share a band of registers are compared by their bags (see linkage). Defined cases: null is empty; all texts
-without words are equal; under five words a text is one shingle; an id that is null takes no part; rows sharing an id
+Texts that share a band of registers are compared by their bags (see linkage). Defined cases: null is empty; texts
+without words are like equal texts alone; under five words a text is one shingle; an id that is null takes no part; rows sharing an id
 count as one document.
 """
 
