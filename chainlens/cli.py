@@ -9,7 +9,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import SparkSession
 
-from .functions import record
+from .functions import messages, record
 from .operators import digest as dg
 from .operators import export as ex
 from .operators import inspect as ins
@@ -54,24 +54,20 @@ def parser() -> argparse.ArgumentParser:
 
 
 def _conflicts(a: argparse.Namespace) -> None:
-    # Texts of usage errors.
-    if a.strict and (a.chain_only or a.sample_signatures is not None):
-        raise UsageError("--chain-only and --sample-signatures apply to the lenient profile only; strict verifies every signature")
-    if a.chain_only and a.sample_signatures is not None:
-        raise UsageError("choose either --chain-only or --sample-signatures, not both")
-    if a.chain_only and (a.trusted_pubkey is not None or a.keystore is not None):
-        raise UsageError("--chain-only skips per-record signature and receipt checks; remove --trusted-pubkey/--keystore (or drop --chain-only to verify them)")
-    if a.sample_signatures == 0:
-        raise UsageError("--sample-signatures N requires N >= 1")
-    if a.sample_signatures is not None and a.sample_signatures < 0:
-        raise UsageError("--sample-signatures takes no negative number")
-    if a.strict:
-        if a.keystore is not None:
-            raise UsageError("--keystore is not used by the strict profile (receipts are not checked in strict mode)")
-        if a.trusted_pubkey is None:
-            raise UsageError("strict profile requires --trusted-pubkey (the externally pinned signing key)")
-        if a.expected_root is None:
-            raise UsageError("strict profile requires --expected-root")
+    reduced = a.chain_only or a.sample_signatures is not None
+    anchors = a.trusted_pubkey is not None or a.keystore is not None
+    refused = [
+        (a.strict and reduced, messages.U_STRICT_POLICY),
+        (a.chain_only and a.sample_signatures is not None, messages.U_TWO_POLICIES),
+        (a.chain_only and anchors, messages.U_CHAIN_ONLY),
+        (a.sample_signatures is not None and a.sample_signatures < 1, messages.U_SAMPLE_0),
+        (a.strict and a.keystore is not None, messages.U_STRICT_KEYSTORE),
+        (a.strict and a.trusted_pubkey is None, messages.U_STRICT_PIN),
+        (a.strict and a.expected_root is None, messages.U_STRICT_ROOT),
+    ]
+    for wrong, text in refused:
+        if wrong:
+            raise UsageError(text)
 
 
 def verify(spark: SparkSession, a: argparse.Namespace) -> bool:
@@ -86,7 +82,7 @@ def verify(spark: SparkSession, a: argparse.Namespace) -> bool:
     if pin is not None:
         pin = record.normalized_anchor(pin)
         if record.unhex(pin, 32) is None:
-            raise UsageError(f"--trusted-pubkey must be 64 hex chars (a 32-byte Ed25519 public key); got {json.dumps(a.trusted_pubkey)}")
+            raise UsageError(messages.U_PIN.format(given=json.dumps(a.trusted_pubkey)))
     policy = dg.NONE if a.chain_only else dg.sample(a.sample_signatures) if a.sample_signatures is not None else dg.ALL
     keystore = Keystore.load(spark, a.keystore) if a.keystore is not None else None
     report = lenient.verify_directory(spark, a.wal, lenient.Options(a.expected_root, keystore, a.fail_fast, pin, policy))

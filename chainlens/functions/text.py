@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import messages
+
 # What counts as white space, and what is escaped.
 _WHITE_SPACE = r"[\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 _NAMED = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t", "\u0085": "\\u0085", "\u2028": "\\u2028", "\u2029": "\\u2029"}
@@ -66,16 +68,14 @@ def hash_problem(field: str, c: Column) -> Column:
     size = F.octet_length(c)
     at = F.regexp_instr(c, F.lit("[^0-9a-f]"))
     bad = F.substr(c, at, F.lit(1))
-    where = (at - 1).cast("string")
-    upper = F.concat(F.lit(f"{field} uses uppercase '"), bad, F.lit("' at position "), where, F.lit("; lowercase hex required"))
-    other = F.concat(F.lit(f"{field} contains invalid char '"), bad, F.lit("' at position "), where)
-    return F.when(size != 64, F.concat(F.lit(f"{field} invalid length: expected 64 chars, got "), size.cast("string"))).when(at > 0, F.when(bad.rlike("[A-F]"), upper).otherwise(other))
+    upper, other = (messages.column(m, field=field, char=bad, at=at - 1) for m in (messages.BAD_CASE, messages.BAD_CHAR))
+    return F.when(size != 64, messages.column(messages.BAD_LENGTH, field=field, expected="64", found=size)).when(at > 0, F.when(bad.rlike("[A-F]"), upper).otherwise(other))
 
 
 def hex_problem(field: str, c: Column, digits: int) -> Column:
     """What is wrong with so many lowercase hex digits; null if nothing is, or c is null."""
     size = F.octet_length(c)
-    return F.when(size != digits, F.concat(F.lit(f"{field} invalid length: expected {digits} chars, got "), size.cast("string"))).when(c.rlike("[^0-9a-f]"), F.lit(f"{field} must be lowercase hex (0-9, a-f)"))
+    return F.when(size != digits, messages.column(messages.BAD_LENGTH, field=field, expected=str(digits), found=size)).when(c.rlike("[^0-9a-f]"), F.lit(messages.BAD_HEX.format(field=field)))
 
 
 def hash_problems(prev_hash: Column, payload_hash: Column, signature: Column, public_key: Column) -> Column:

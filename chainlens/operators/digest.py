@@ -8,14 +8,14 @@ the chain root, reports) is made from digests, and lines are read once.
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from ..functions import blake3, ed25519, record
+from ..functions import blake3, ed25519, messages, record
 from ..functions.record import Record
 from ..functions.strict_json import JsonError
 from . import splits
@@ -84,16 +84,6 @@ class Checks:
 Error = tuple  # of the fields of _ERROR; last may be left out
 
 
-# Texts of receipt errors.
-RECEIPT_TEXTS = {
-    "receipt_key_unknown": "Receipt at sequence {seq} references server_key_id={what} which is not in the keystore",
-    "receipt_unsupported_alg": "Receipt at sequence {seq} has an unsupported signature algorithm {what} (only ed25519 is implemented)",
-    "receipt_sig_malformed": "Receipt at sequence {seq}: malformed receipt_sig: {what}",
-    "receipt_signature_invalid": "Receipt at sequence {seq} failed Ed25519 signature verification",
-    "receipt_entry_mismatch": "Receipt at sequence {seq} attests to a different event than the entry it is attached to (mismatched {what})",
-}
-
-
 def quoted(text: str) -> str:
     """A text in quotes, with escapes, as messages show what was given."""
     out = []
@@ -105,7 +95,7 @@ def quoted(text: str) -> str:
 def receipt_checks(own: list[tuple[str, dict, str, str | None]], keystore: Mapping[str, bytes]) -> list[tuple[str, str] | None]:
     """For each (sequence, receipt, payload hash and event id of the record) the error's type and text, or None. Signatures are checked together."""
     out: list[tuple[str, str] | None] = [None] * len(own)
-    keys, messages, signatures, at = [], [], [], []
+    keys, signed, signatures, at = [], [], [], []
     for k, (seq, r, _, _) in enumerate(own):
         kind = what = None
         if r["sig_alg"] != "ed25519":
@@ -123,29 +113,21 @@ def receipt_checks(own: list[tuple[str, dict, str, str | None]], keystore: Mappi
                 kind, what = "receipt_sig_malformed", f"receipt_sig must be 64 bytes, got {len(sig)}"
             else:
                 keys.append(keystore[r["server_key_id"]])
-                messages.append(record.receipt_message(r))
+                signed.append(record.receipt_message(r))
                 signatures.append(sig)
                 at.append(k)
         if kind:
-            out[k] = kind, RECEIPT_TEXTS[kind].format(seq=seq, what=what)
-    for k, ok in zip(at, ed25519.verify_many(keys, messages, signatures), strict=True):
+            out[k] = kind, messages.RECEIPT[kind].format(seq=seq, what=what)
+    for k, ok in zip(at, ed25519.verify_many(keys, signed, signatures), strict=True):
         seq, r, payload_hash, event_id = own[k]
         if not ok:
-            out[k] = "receipt_signature_invalid", RECEIPT_TEXTS["receipt_signature_invalid"].format(seq=seq)
+            out[k] = "receipt_signature_invalid", messages.RECEIPT["receipt_signature_invalid"].format(seq=seq)
         elif r["payload_hash"] != payload_hash or event_id is not None and r["event_id"] != event_id:
             which = "payload_hash" if r["payload_hash"] != payload_hash else "event_id"
-            out[k] = "receipt_entry_mismatch", RECEIPT_TEXTS["receipt_entry_mismatch"].format(seq=seq, what=which)
+            out[k] = "receipt_entry_mismatch", messages.RECEIPT["receipt_entry_mismatch"].format(seq=seq, what=which)
     return out
 
 
-# Texts of errors.
-NO_MATCH = "record public_key does not match trusted_pubkey pin"
-BAD_SIGNATURE = "Ed25519 verification failed"
-UNSIGNED_PINNED = "record is unsigned but trusted_pubkey requires every record to be signed by the pinned key"
-HALF_SIGNED = "signature and public_key must both be present or both absent"
-ALG_WARNING = "sequence {seq}: hash_alg = {alg} but lenient verifier assumes blake3; payload integrity is unchecked"
-
-
 class Digester:
     """Digests the blocks that a task reads."""
 
@@ -172,7 +154,7 @@ class Digester:
                         if not line.decode().strip():
                             continue
                     except UnicodeDecodeError:
-                        errors.append(self._no_record(i, rows, "invalid_utf8", "stream did not contain valid UTF-8"))
+                        errors.append(self._no_record(i, rows, "invalid_utf8", messages.INVALID_UTF8))
                         continue
                 elif not line.strip(ASCII_BLANK):
                     continue
@@ -206,12 +188,12 @@ class Digester:
             if before is not None:
                 link, last, then = before
                 if r.prev_hash != link:
-                    errors.append((*here, LINK, 0, str(seq), ts, "chain_break", f"expected prev_hash {link}, found {r.prev_hash}"))
+                    errors.append((*here, LINK, 0, str(seq), ts, "chain_break", messages.CHAIN_BREAK.format(expected=link, found=r.prev_hash)))
                 expected = min(last + 1, record.U64[1])
                 if seq != expected:
-                    errors.append((*here, SEQUENCE, 0, str(seq), ts, "sequence_gap", f"expected sequence {expected} after {last}, found {seq}"))
+                    errors.append((*here, SEQUENCE, 0, str(seq), ts, "sequence_gap", messages.SEQUENCE_GAP.format(expected=expected, previous=last, found=seq)))
                 if ts < then:
-                    errors.append((*here, TIMESTAMP, 0, str(seq), ts, "timestamp_regression", f"timestamp {ts} < previous {then}"))
+                    errors.append((*here, TIMESTAMP, 0, str(seq), ts, "timestamp_regression", messages.TIMESTAMP_REGRESSION.format(found=ts, previous=then)))
             before = hexes[i], seq, ts
             has_sig, has_key = r.signature is not None, r.public_key is not None
             if has_sig:
@@ -227,20 +209,20 @@ class Digester:
                 if known:
                     mark |= SIG_OK
                 else:
-                    errors.append((*here, SIGNATURE, 0, str(seq), ts, "invalid_signature", BAD_SIGNATURE))
+                    errors.append((*here, SIGNATURE, 0, str(seq), ts, "invalid_signature", messages.INVALID_SIGNATURE))
             elif c.policy.selects(seq):
                 if has_sig and has_key:
-                    errors.append((*here, SIGNATURE, 0, str(seq), ts, "untrusted_pubkey", NO_MATCH))
+                    errors.append((*here, SIGNATURE, 0, str(seq), ts, "untrusted_pubkey", messages.UNTRUSTED_PUBKEY))
                     flags[i] = mark
                     continue  # nothing more is said of such a record
                 if has_sig or has_key:
-                    errors.append((*here, SIGNATURE, 0, str(seq), ts, "unsigned_record", HALF_SIGNED))
+                    errors.append((*here, SIGNATURE, 0, str(seq), ts, "unsigned_record", messages.HALF_SIGNED))
                 elif c.pin is not None:
-                    errors.append((*here, SIGNATURE, 0, str(seq), ts, "unsigned_record", UNSIGNED_PINNED))
+                    errors.append((*here, SIGNATURE, 0, str(seq), ts, "unsigned_record", messages.UNSIGNED_PINNED))
             elif has_sig or has_key:
                 mark |= SIG_SKIPPED
             if r.hash_alg is not None and r.hash_alg != record.HASH_ALG:
-                warnings.append((here[1], ALG_WARNING.format(seq=seq, alg=quoted(r.hash_alg))))
+                warnings.append((here[1], messages.W_ALG.format(seq=seq, alg=quoted(r.hash_alg))))
             if r.receipt is not None:
                 mark |= RECEIPT_SEEN
                 receipts.append(i)
@@ -288,14 +270,52 @@ class Digester:
         return pa.RecordBatch.from_arrays(list(values.values()), list(values))
 
 
+def _seams(head: Column, before: Column) -> Column:
+    """Errors of a block's first record: of the genesis, or of what it makes of the record before."""
+    u64 = lambda c: c.cast("decimal(20,0)")
+    seq, last = u64(head["sequence"]), u64(before["sequence"])
+    expected = F.least(last.cast("decimal(21,0)") + 1, F.lit(str(record.U64[1])).cast("decimal(21,0)")).cast("decimal(20,0)")
+
+    def error(rank: int, kind: str, details: Column) -> Column:
+        return F.struct(F.lit(rank).alias("rank"), F.lit(kind).alias("error_type"), details.alias("details"))
+
+    found = head["sequence"]
+    first = before.isNull()
+    link = (
+        F.when(first & (seq != 1), error(LINK, "invalid_genesis", messages.column(messages.GENESIS_SEQUENCE, found=found)))
+        .when(first & (head["hash"] != record.GENESIS_PREV_HASH), error(LINK, "invalid_genesis", messages.column(messages.GENESIS_HASH, expected=record.GENESIS_PREV_HASH[:16], found=head["hash"])))
+        .when(before["hash"] != head["hash"], error(LINK, "chain_break", messages.column(messages.CHAIN_BREAK, expected=before["hash"], found=head["hash"])))
+    )
+    gap = F.when(~first & (seq != expected), error(SEQUENCE, "sequence_gap", messages.column(messages.SEQUENCE_GAP, expected=expected, previous=before["sequence"], found=found)))
+    time = F.when(head["ts"] < before["ts"], error(TIMESTAMP, "timestamp_regression", messages.column(messages.TIMESTAMP_REGRESSION, found=head["ts"], previous=before["ts"])))
+    return F.when(head.isNull(), F.array().cast("array<struct<rank int, error_type string, details string>>")).otherwise(F.filter(F.array(link, gap, time), lambda x: x.isNotNull()))
+
+
+@dataclass
+class Origin:
+    """What came before the scan: lines and records, and the last record's side."""
+
+    lines: int = 0
+    records: int = 0
+    tail: dict | None = None
+
+
 @dataclass
 class Digest:
     """The digests of a log, kept for the steps that follow, and the places of its blocks."""
 
     parts: DataFrame
     blocks: DataFrame
-    n_blocks: int = 0
-    _kept: list[DataFrame] = field(default_factory=list)
+    #: blocks, lines, records, errors, seams, warnings, kept and the counters of the whole; head and tail
+    totals: Row
+
+    @property
+    def n_blocks(self) -> int:
+        return self.totals["blocks"]
+
+    @property
+    def n_errors(self) -> int:
+        return self.totals["errors"] + self.totals["seams"]
 
     def located(self, parts: DataFrame) -> DataFrame:
         """parts with line_at, record_at, name_line_at and before of their blocks."""
@@ -318,14 +338,23 @@ class Digest:
         return own.select((F.col("kept_at") + F.col("first_kept")).alias("start"), "hashes", "flags").mapInArrow(only_kept, "start long, hashes binary")
 
     def release(self) -> None:
-        for df in self._kept:
-            df.unpersist()
+        self.blocks.unpersist()
+        self.parts.unpersist()
 
 
-def digest(scan: DataFrame, checks: Checks) -> Digest:
-    """Runs the pass. The digests are persisted, about 33 bytes a record; what an executor loses is made again from its blocks."""
+def digest(scan: DataFrame, checks: Checks, origin: Origin = Origin()) -> Digest:
+    """Runs the pass, in one job. The digests are persisted, about 33 bytes a record; what an executor loses is made again from its blocks."""
     parts = splits.split_map(scan, lambda: Digester(checks), DIGEST).persist()
     first = lambda f, c: F.expr(f"{f}({c}, first_record) FILTER (WHERE records > 0)").alias(c)
-    sums = parts.groupBy("name", "block").agg(F.sum("lines").alias("lines"), F.sum("records").alias("records"), first("min_by", "head"), first("max_by", "tail"), *[F.sum(c).alias(c) for c in COUNTERS])
-    blocks = splits.placed(sums, ("lines", "records", "kept")).persist()
-    return Digest(parts, blocks, blocks.count(), [blocks, parts])
+    sizes = [F.sum(F.size(c)).alias(f"n_{c}") for c in ("errors", "warnings")]
+    sums = parts.groupBy("name", "block").agg(F.sum("lines").alias("lines"), F.sum("records").alias("records"), first("min_by", "head"), first("max_by", "tail"), *sizes, *[F.sum(c).alias(c) for c in COUNTERS])
+    blocks = splits.placed(sums, ("lines", "records", "kept"))
+    if origin.tail is not None:
+        side = F.struct(*[F.lit(origin.tail.get(k)).cast(t).alias(k) for k, t in (("line", "long"), ("sequence", "string"), ("ts", "long"), ("hash", "string"))])
+        blocks = blocks.withColumn("before", F.coalesce("before", side))
+    blocks = blocks.withColumn("line_at", F.col("line_at") + origin.lines).withColumn("record_at", F.col("record_at") + origin.records)
+    blocks = blocks.withColumn("seams", _seams(F.col("head"), F.col("before"))).persist()
+    total = lambda c, name=None: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name or c)
+    filled = "FILTER (WHERE records > 0)"
+    totals = blocks.agg(F.count("*").alias("blocks"), total("lines"), total("records"), total("n_errors", "errors"), total("n_warnings", "warnings"), total(F.size("seams"), "seams"), *[total(c) for c in COUNTERS], F.expr(f"min_by(head, record_at) {filled}").alias("head"), F.expr(f"max_by(tail, record_at) {filled}").alias("tail"), F.min("name").alias("first_name"), F.max("name").alias("last_name")).first()
+    return Digest(parts, blocks, totals)

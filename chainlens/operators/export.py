@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import blake3, record, text
+from ..functions import blake3, messages, record, text
 from ..sources import segments
 from . import digest as dg
 from . import splits
@@ -58,7 +58,7 @@ def bound(given: str | None) -> int | None:
     try:
         return record.ns_of_rfc3339(given)
     except ValueError as e:
-        raise ExportError(f"Invalid filter timestamp {json.dumps(given)}: {e}") from None
+        raise ExportError(messages.BAD_FILTER.format(given=json.dumps(given), details=e)) from None
 
 
 class _JsonLines(Reader):
@@ -100,18 +100,17 @@ class Export:
         if form not in FORMATS:
             raise ExportError(f"an export's format is one of {', '.join(FORMATS)}, not {form}")
         if not 0 <= facility <= 23:
-            raise ExportError(f"--syslog-facility must be 0..=23, got {facility}")
+            raise ExportError(messages.BAD_FACILITY.format(given=facility))
         checks = Checks(policy=NONE, unicode_blank=True, from_ns=bound(from_), to_ns=bound(to))
         if checks.from_ns is not None and checks.to_ns is not None and checks.from_ns > checks.to_ns:
-            raise ExportError(f"--from is after --to: from={json.dumps(from_)} > to={json.dumps(to)}")
+            raise ExportError(messages.INVERTED_RANGE.format(from_=json.dumps(from_), to=json.dumps(to)))
         self.spark, self.form = spark, form
         found = segments.list_segments(spark, directory)
         scan = segments.scan_segments(spark, found)
         digest = dg.digest(scan, checks)
         try:
             checked(digest, found)
-            sums = digest.blocks.agg(F.sum("records"), F.sum("kept")).first()
-            count, kept = (x or 0 for x in sums)
+            count, kept = digest.totals["records"], digest.totals["kept"]
             source = chain_root(digest.runs().select("start", "hashes"), count)
             filtered = source if kept == count else chain_root(digest.kept_runs(), kept)
         finally:

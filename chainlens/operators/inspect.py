@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import record, text
+from ..functions import messages, record, text
 from ..functions.record import Record
 from ..functions.strict_json import parse
 from ..sources import segments
@@ -25,7 +25,7 @@ class LogReadError(ValueError):
     """A line of the log can't be read."""
 
     def __init__(self, path: str, line: int, details: str, utf8: bool = False):
-        super().__init__(f"Read error on {path}: {details}" if utf8 else f"Parse error in {path} line {line}: {details}")
+        super().__init__(messages.READ_ERROR.format(path=path, details=details) if utf8 else messages.RECORD_ERROR.format(path=path, line=line, details=details))
 
 
 def path_of(found: list[segments.Segment], name: str) -> str:
@@ -34,6 +34,8 @@ def path_of(found: list[segments.Segment], name: str) -> str:
 
 def checked(digest: Digest, found: list[segments.Segment]) -> None:
     """LogReadError for the first line that is no record."""
+    if not digest.totals["errors"]:
+        return
     from ..plans.lenient import errors_of
 
     first = errors_of(digest).where(F.col("rank") == dg.PARSE).orderBy("line").first()
@@ -76,7 +78,7 @@ def stats(spark: SparkSession, directory: str) -> dict[str, Any]:
     try:
         checked(digest, found)
         s = stats_frame(digest).first()
-        streams = [r["s"] for r in digest.parts.select(F.explode("streams").alias("s")).distinct().orderBy("s").collect()]
+        streams = sorted((r["s"] for r in digest.parts.select(F.explode("streams").alias("s")).distinct().collect()), key=str.encode) if digest.totals["sdk"] else []
     finally:
         digest.release()
     none = lambda x: None if x is None else int(x)

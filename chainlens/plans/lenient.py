@@ -10,27 +10,16 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import record
+from ..functions import messages, record
 from ..operators import digest as dg
 from ..operators.digest import ALL, Checks, Digest, Policy
 from ..operators.root import chain_root
 from ..sources import segments
 from .reports import LenientReport
 
-# Texts of warnings.
-W_BAD_PIN = "trusted_pubkey is not a valid 32-byte hex string ({why}); falling back to record-declared pubkeys"
-W_EMPTY = "No WAL records found"
-W_NO_ROOT = "No expected root provided: verified internal consistency only. For full tamper-detection, compare chain_root against an external anchor."
-W_NO_SIGNATURES = "Signatures were NOT verified (chain-only policy). Chain linkage, sequence, timestamps and root were checked; per-record signatures were not. Provide an authenticated expected_root for tamper-evidence, or run full verification to check every signature."
-W_SAMPLED = "Sampled signature verification (1-in-{n}): {checked} signatures checked, {skipped} signed records left unchecked. Sampling is a routine spot-check for accidental corruption, NOT a defense against a targeted forger who can avoid the sampled positions. Use full verification or cryptographic inclusion proofs for adversarial completeness."
-W_UNPINNED = "{n} signatures were verified against record-declared pubkeys (no external pin). Pass --trusted-pubkey on the CLI to require an externally pinned key, or use the strict verifier."
-W_RECEIPTS = "{n} records carry server receipts but no keystore was supplied. Pass --keystore on the CLI to verify receipt signatures."
-W_PROFILE = "All records failed signature verification under the lenient profile. If this is a strict-profile WAL, re-run with --strict --trusted-pubkey <hex> --expected-root <hex>."
-
-
 @dataclass(frozen=True)
 class Options:
     expected_root: str | None = None
@@ -49,35 +38,18 @@ def pin_of(text: str | None) -> tuple[bytes | None, list[str]]:
     key = record.unhex(text, 32)
     if key is not None:
         return key, []
-    return None, [W_BAD_PIN.format(why=f"expected 64 hex chars, got {size}" if size != 64 else "invalid hex digit")]
-
-
-def _seams(digest: Digest) -> DataFrame:
-    """Errors of the first records of blocks: genesis, or what they make of the block before."""
-    head, before = F.col("head"), F.col("before")
-    u64 = lambda c: c.cast("decimal(20,0)")
-    seq, last = u64(head["sequence"]), u64(before["sequence"])
-    expected = F.least(last.cast("decimal(21,0)") + 1, F.lit(str(record.U64[1])).cast("decimal(21,0)")).cast("decimal(20,0)")
-
-    def error(rank: int, kind: str, details: Column) -> Column:
-        return F.struct(F.lit(rank).alias("rank"), F.lit(0).alias("sub"), F.lit(kind).alias("error_type"), details.alias("details"))
-
-    genesis = F.when(before.isNull() & (seq != 1), error(dg.LINK, "invalid_genesis", F.concat(F.lit("genesis must have sequence=1, found sequence="), head["sequence"]))).when(
-        before.isNull() & (head["hash"] != record.GENESIS_PREV_HASH), error(dg.LINK, "invalid_genesis", F.concat(F.lit(f"genesis prev_hash must be {record.GENESIS_PREV_HASH[:16]}, found "), head["hash"]))
-    )
-    link = F.when(before["hash"] != head["hash"], error(dg.LINK, "chain_break", F.concat(F.lit("expected prev_hash "), before["hash"], F.lit(", found "), head["hash"])))
-    gap = F.when(before.isNotNull() & (seq != expected), error(dg.SEQUENCE, "sequence_gap", F.concat(F.lit("expected sequence "), expected.cast("string"), F.lit(" after "), before["sequence"], F.lit(", found "), head["sequence"])))
-    time = F.when(head["ts"] < before["ts"], error(dg.TIMESTAMP, "timestamp_regression", F.concat(F.lit("timestamp "), head["ts"].cast("string"), F.lit(" < previous "), before["ts"].cast("string"))))
-    found = F.filter(F.array(genesis, link, gap, time), lambda x: x.isNotNull())
-    return digest.blocks.where("records > 0").select("name", "block", "head", F.explode(found).alias("e")).select("name", "block", head["line"].alias("line"), F.lit(0).cast("long").alias("record"), F.col("e.rank").alias("rank"), F.col("e.sub").alias("sub"), head["sequence"].alias("sequence"), head["ts"].alias("ts"), F.col("e.error_type").alias("error_type"), F.col("e.details").alias("details"), F.lit(None).cast("string").alias("last"))
+    return None, [messages.W_BAD_PIN.format(why=f"expected 64 hex chars, got {size}" if size != 64 else "invalid hex digit")]
 
 
 def errors_of(digest: Digest) -> DataFrame:
     """(line, record, rank, sub, sequence, ts, error_type, details, ...) of all errors; line and record count from 0 in the whole log."""
     own = digest.parts.where(F.size("errors") > 0).select("name", "block", F.explode("errors").alias("e")).select("name", "block", "e.*")
-    both = digest.located(own.unionByName(_seams(digest)))
+    head = F.col("head")
+    seams = digest.blocks.where(F.size("seams") > 0).select("name", "block", "head", F.explode("seams").alias("e"))
+    seams = seams.select("name", "block", head["line"].alias("line"), F.lit(0).cast("long").alias("record"), "e.rank", F.lit(0).alias("sub"), head["sequence"].alias("sequence"), head["ts"].alias("ts"), "e.error_type", "e.details", F.lit(None).cast("string").alias("last"))
+    both = digest.located(own.unionByName(seams))
     line = F.col("line_at") + F.col("line")
-    details = F.when(F.col("error_type") == "parse_error", F.concat(F.lit("line "), (line + 1).cast("string"), F.lit(": "), F.col("details"))).otherwise(F.col("details"))
+    details = F.when(F.col("error_type") == "parse_error", messages.column(messages.PARSE_ERROR, line=line + 1, details=F.col("details"))).otherwise(F.col("details"))
     return both.select(line.alias("line"), (F.col("record_at") + F.col("record")).alias("record"), "rank", "sub", "sequence", "ts", "error_type", details.alias("details"), "last", "before", "name", (F.col("name_line_at") + F.col("line")).alias("name_line"))
 
 
@@ -129,30 +101,25 @@ class LenientVerification:
         self.digest = dg.digest(scan, checks)
         self.errors = errors_of(self.digest)
 
-    def _halt(self):
-        return self.errors.orderBy("line", "rank", "sub").first() if self.options.fail_fast else None
-
     def report(self) -> LenientReport:
-        o, out = self.options, LenientReport()
-        halt = self._halt()
-        blocks = self.digest.blocks
-        ends = blocks.where("records > 0").agg(F.expr("min_by(head, record_at)").alias("head"), F.expr("max_by(tail, record_at)").alias("tail"), F.sum("records").alias("records"), *[F.sum(c).alias(c) for c in dg.COUNTERS]).first()
+        o, digest, out = self.options, self.digest, LenientReport()
+        totals = digest.totals
+        found = self.errors if digest.n_errors else None
+        halt = found.orderBy("line", "rank", "sub").first() if found is not None and o.fail_fast else None
         if halt is None:
-            n, counts = ends["records"] or 0, {c: ends[c] or 0 for c in dg.COUNTERS}
-            rows = self.digest.runs().select("start", "hashes")
-            listed = self.errors.orderBy("line", "rank", "sub").collect()
-            last = ends["tail"]
+            n, counts = totals["records"], {c: totals[c] for c in dg.COUNTERS}
+            rows, last = digest.runs().select("start", "hashes"), totals["tail"]
+            listed = sorted(found.collect(), key=lambda e: (e["line"], e["rank"], e["sub"])) if found is not None else []
         else:
-            n, listed = halt["record"], [halt]
-            counts, rows = prefix_of(self.digest, halt)
+            n, listed, last = halt["record"], [halt], last_before(halt)
+            counts, rows = prefix_of(digest, halt)
             out.halted_early = True
-            last = last_before(halt)
-        warned = warnings_of(self.digest, halt).orderBy("record").collect()
+        warned = sorted(warnings_of(digest, halt).collect(), key=lambda w: w["record"]) if totals["warnings"] else []
         out.valid = not listed
-        out.errors = [{"sequence": None if e["sequence"] is None else int(e["sequence"]), "error_type": e["error_type"], "details": e["details"]} for e in listed]
+        out.errors = [error_of(e) for e in listed]
         out.events_verified, out.signatures_verified, out.signatures_skipped, out.receipts_verified = n, counts["signatures_ok"], counts["signatures_skipped"], counts["receipts_ok"]
-        if ends["head"] is not None and last is not None:
-            out.first_sequence, out.first_timestamp = int(ends["head"]["sequence"]), ends["head"]["ts"]
+        if totals["head"] is not None and last is not None:
+            out.first_sequence, out.first_timestamp = int(totals["head"]["sequence"]), totals["head"]["ts"]
             out.last_sequence, out.last_timestamp = int(last["sequence"]), last["ts"]
         out.chain_root = chain_root(rows, n)
         out.warnings = [*self._pin_warnings, *(w["text"] for w in warned)]
@@ -160,32 +127,37 @@ class LenientVerification:
         return out
 
 
+def error_of(e) -> dict:
+    """A row of errors as reports list it."""
+    return {"sequence": None if e["sequence"] is None else int(e["sequence"]), "error_type": e["error_type"], "details": e["details"]}
+
+
 def conclude(out: LenientReport, o: Options, unpinned: bool, receipts_seen: int) -> None:
     """The root gate and the closing warnings."""
     if not out.events_verified:
-        out.warnings.append(W_EMPTY)
+        out.warnings.append(messages.W_EMPTY)
     anchor = record.normalized_anchor(o.expected_root) if o.expected_root is not None else ""
     if anchor:
         if out.chain_root != anchor:
             out.valid = False
-            out.errors.append({"sequence": None, "error_type": "root_mismatch", "details": f"expected {anchor}, computed {out.chain_root}"})
+            out.errors.append({"sequence": None, "error_type": "root_mismatch", "details": messages.ROOT_MISMATCH.format(expected=anchor, found=out.chain_root)})
     elif out.events_verified:
-        out.warnings.append(W_NO_ROOT)
+        out.warnings.append(messages.W_NO_ROOT)
     if o.policy.kind == "none" and out.events_verified:
-        out.warnings.append(W_NO_SIGNATURES)
+        out.warnings.append(messages.W_NO_SIGNATURES)
     if o.policy.kind == "sample":
-        out.warnings.append(W_SAMPLED.format(n=o.policy.one_in, checked=out.signatures_verified, skipped=out.signatures_skipped))
+        out.warnings.append(messages.W_SAMPLED.format(n=o.policy.one_in, checked=out.signatures_verified, skipped=out.signatures_skipped))
     if o.trusted_pubkey is None and unpinned and out.signatures_verified:
-        out.warnings.append(W_UNPINNED.format(n=out.signatures_verified))
+        out.warnings.append(messages.W_UNPINNED.format(n=out.signatures_verified))
     if o.keystore is None and receipts_seen:
-        out.warnings.append(W_RECEIPTS.format(n=receipts_seen))
+        out.warnings.append(messages.W_RECEIPTS.format(n=receipts_seen))
 
 
 def profile_hint(out: LenientReport) -> None:
     """A warning if every record failed its signature, as those of a log for the strict profile do."""
     failed = sum(e["error_type"] == "invalid_signature" for e in out.errors)
     if not out.valid and failed and failed == out.events_verified:
-        out.warnings.append(W_PROFILE)
+        out.warnings.append(messages.W_PROFILE)
 
 
 def verify_scan(scan: DataFrame, options: Options = Options()) -> LenientReport:

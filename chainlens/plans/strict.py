@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import __version__
-from ..functions import blake3, ed25519, record
+from ..functions import blake3, ed25519, messages, record
 from ..functions.canonical import CanonicalError, canonical_json
 from ..functions.record import Record
 from ..functions.strict_json import JsonError, dumps, parse
@@ -207,12 +207,12 @@ def verify_scan(scan: DataFrame, expected_pubkey: str, expected_root: str, manif
     key_text, root = record.normalized_anchor(expected_pubkey), record.normalized_anchor(expected_root)
     out = StrictReport(verifier_version=__version__, manifest_version_used=manifest_version, expected_pubkey_fp=record.fingerprint(key_text))
     if problem := _hex_text(key_text, 64):
-        return _error(out, f"expected_pubkey not valid 32-byte hex: {problem}")
+        return _error(out, messages.S_PUBKEY_HEX.format(why=problem))
     pin = bytes.fromhex(key_text)
     if ed25519.decompress(pin) is None:
-        return _error(out, "expected_pubkey is not a valid Ed25519 verifying key")
+        return _error(out, messages.S_PUBKEY_POINT)
     if _hex_text(root, 64):
-        return _error(out, f"expected_root must be 64 hex chars (with optional 0x prefix), got {len(root.encode())} chars after stripping")
+        return _error(out, messages.S_ROOT_HEX.format(found=len(root.encode())))
     parts = splits.split_map(scan, lambda: StrictReader(pin, iso), _PART).persist()
     try:
         return _concluded(out, parts, root)
@@ -269,7 +269,7 @@ def _concluded(out: StrictReport, parts: DataFrame, root: str) -> StrictReport:
     if failed:
         out.status = "invalid"
     elif out.chain_root != root:
-        out.status, out.error = "invalid", f"chain_root mismatch: expected {root}, computed {out.chain_root}"
+        out.status, out.error = "invalid", messages.S_ROOT.format(expected=root, found=out.chain_root)
     return out
 
 

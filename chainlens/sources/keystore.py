@@ -7,7 +7,7 @@ from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions import ed25519, strict_json
+from ..functions import ed25519, messages, strict_json
 
 # Fixed value of the file format.
 SCHEMA = "spine-keystore-v1"
@@ -15,7 +15,7 @@ SCHEMA = "spine-keystore-v1"
 
 class KeystoreError(ValueError):
     def __init__(self, path: str, details: str):
-        super().__init__(f"Keystore file {path} could not be read or parsed: {details}")
+        super().__init__(messages.KEYSTORE_LOAD.format(path=path, details=details))
 
 
 class Keystore(Mapping[str, bytes]):

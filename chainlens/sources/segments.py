@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import messages
+
 # What counts as a segment.
 EXTENSIONS = ("wal", "jsonl")
 SIDECARS = ("batch_ledger.jsonl",)
@@ -36,7 +38,7 @@ def sortable(names: list[str]) -> str | None:
     for s in stems[1:]:
         if len(s) != len(stems[0]):
             a, b = (x.replace("\\", "\\\\").replace('"', '\\"') for x in (stems[0], s))
-            return f'"{a}" (width {len(stems[0])}) and "{b}" (width {len(s)}) cannot be sorted lexicographically; rename files with consistent zero-padding (e.g. 00000001.wal)'
+            return messages.UNSORTABLE_PAIR.format(a=a, wa=len(stems[0]), b=b, wb=len(s))
     return None
 
 
@@ -44,7 +46,7 @@ def select_segments(names: list[str]) -> list[str]:
     """The names of segments among those of a directory's files, in order; SegmentError if they can't be ordered, or not be read."""
     own = sorted((n for n in names if "." in n.lstrip(".") and n.rsplit(".", 1)[1] in EXTENSIONS and n not in SIDECARS), key=str.encode)
     if offender := sortable(own):
-        raise SegmentError(f"WAL segment filenames are not lexicographically sortable: {offender}")
+        raise SegmentError(messages.UNSORTABLE.format(offender=offender))
     for n in own:
         if n[0] in "._":
             raise SegmentError(f"Segment {n!r} would be passed over by Spark, which skips files whose names begin with . or _; rename it")
@@ -57,7 +59,7 @@ def list_segments(spark: SparkSession, directory: str) -> list[Segment]:
     top = jvm.org.apache.hadoop.fs.Path(directory)
     fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(top) or not fs.getFileStatus(top).isDirectory():
-        raise SegmentError(f"Path is not a directory: {directory}")
+        raise SegmentError(messages.NOT_A_DIRECTORY.format(path=directory))
     found = {s.getPath().getName(): s for s in fs.listStatus(top) if s.isFile()}
     return [Segment(n, found[n].getPath().toString(), found[n].getLen()) for n in select_segments(list(found))]
 

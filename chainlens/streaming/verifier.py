@@ -112,7 +112,7 @@ class StreamVerifier:
         if s.halted:
             return
         checks = Checks(policy=self.options.policy, pin=self.pin, keystore=self.options.keystore, iso=self.options.iso_timestamps)
-        digest = dg.digest(batch, checks)
+        digest = dg.digest(batch, checks, dg.Origin(s.lines, s.records, s.tail))
         try:
             self._advance(s, digest, number)
         finally:
@@ -123,46 +123,38 @@ class StreamVerifier:
             raise StreamHalted(f"batch {number}: an error ends the stream")
 
     def _advance(self, s: State, digest: dg.Digest, number: int) -> None:
-        names = digest.blocks.agg(F.min("name"), F.max("name"), F.sum("lines"), F.sum("records"), *[F.sum(c).alias(c) for c in dg.COUNTERS]).first()
-        if names[0] is None:
+        totals = digest.totals
+        if totals["first_name"] is None:
             return
-        if s.last_name and names[0] <= s.last_name:
-            raise OrderError(f"segment {names[0]} came after {s.last_name}")
+        if s.last_name and totals["first_name"] <= s.last_name:
+            raise OrderError(f"segment {totals['first_name']} came after {s.last_name}")
         if self.directory:
             seen = segments.list_segments(self.spark, self.directory)  # also checks that names can be sorted
-            missed = [x.name for x in seen if s.last_name < x.name < names[1] and x.size]
             here = {r["name"] for r in digest.blocks.select("name").distinct().collect()}
-            if late := [n for n in missed if n not in here]:
-                raise OrderError(f"segment {late[0]} has not been read, but {names[1]} has")
-        before = s.tail
-        blocks = digest.blocks
-        if before is not None:
-            kept = F.struct(*[F.lit(before[k]).cast(t).alias(k) for k, t in (("line", "long"), ("sequence", "string"), ("ts", "long"), ("hash", "string"))])
-            blocks = blocks.withColumn("before", F.coalesce("before", kept))
-        digest = dg.Digest(digest.parts, blocks.withColumn("line_at", F.col("line_at") + s.lines).withColumn("record_at", F.col("record_at") + s.records), digest.n_blocks)
+            if late := [x.name for x in seen if s.last_name < x.name < totals["last_name"] and x.size and x.name not in here]:
+                raise OrderError(f"segment {late[0]} has not been read, but {totals['last_name']} has")
         errors = lenient.errors_of(digest)
-        halt = errors.orderBy("line", "rank", "sub").first() if self.options.fail_fast else None
+        halt = errors.orderBy("line", "rank", "sub").first() if self.options.fail_fast and digest.n_errors else None
         if halt is not None:
             errors = self.spark.createDataFrame([tuple(halt)], errors.schema)
             s.halted = True
         shown = errors.select("line", "rank", "sub", "sequence", "error_type", "details")
         shown.write.mode("overwrite").parquet(f"{self.home}/errors/batch={number}")
         lenient.warnings_of(digest, halt).write.mode("overwrite").parquet(f"{self.home}/warnings/batch={number}")
-        ends = digest.blocks.where("records > 0").agg(F.min_by("head", "record_at").alias("head"), F.max_by("tail", "record_at").alias("tail")).first()
         if halt is None:
-            counts, rows, added, last = {c: names[c] for c in dg.COUNTERS}, digest.runs(), names[3], ends["tail"]
+            counts, rows, added, last = {c: totals[c] for c in dg.COUNTERS}, digest.runs(), totals["records"], totals["tail"]
         else:
             (counts, rows), added, last = lenient.prefix_of(digest, halt), halt["record"] - s.records, lenient.last_before(halt)
-        if ends["head"] is not None and last is not None:
-            s.first = s.first or ends["head"].asDict()
+        if totals["head"] is not None and last is not None:
+            s.first = s.first or totals["head"].asDict()
             s.tail = {k: last[k] if k in ("sequence", "ts") or halt is None else None for k in ("line", "sequence", "ts", "hash")}
         if added:
             h = s.hash()
             h.absorb([tuple(r) for r in nodes_of(rows, None).collect()], added)
             s.keep(h)
-        s.lines += names[2]
+        s.lines += totals["lines"]
         s.records += added
-        s.last_name = names[1]
+        s.last_name = totals["last_name"]
         for c in dg.COUNTERS:
             s.counts[c] += counts[c]
 
@@ -183,7 +175,7 @@ class StreamVerifier:
         """The report of all that has been read."""
         s, out = self.state(), LenientReport()
         listed = self.errors().orderBy("line", "rank", "sub").collect() if s.batch >= 0 else []
-        out.errors = [{"sequence": None if e["sequence"] is None else int(e["sequence"]), "error_type": e["error_type"], "details": e["details"]} for e in listed]
+        out.errors = [lenient.error_of(e) for e in listed]
         out.valid, out.halted_early = not listed, s.halted
         out.events_verified, out.signatures_verified, out.signatures_skipped, out.receipts_verified = s.records, s.counts["signatures_ok"], s.counts["signatures_skipped"], s.counts["receipts_ok"]
         if s.first and s.tail:

@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from chainlens.functions import record
+from chainlens.functions import messages, record
 from chainlens.functions.ed25519 import SigningKey
 from chainlens.operators import digest as dg
 from chainlens.operators import seal
@@ -105,11 +105,11 @@ def test_anchors_and_warnings(spark):
     assert run(expected_root=f" 0X{root.upper()} ").valid
     for blank in ("   ", "\t", "0x", "  0X  "):
         r = run(expected_root=blank)
-        assert r.valid and r.warnings[0] == lenient.W_NO_ROOT
+        assert r.valid and r.warnings[0] == messages.W_NO_ROOT
     r = run(trusted_pubkey="zz", expected_root=root)
     assert r.valid and r.warnings == ["trusted_pubkey is not a valid 32-byte hex string (expected 64 hex chars, got 2); falling back to record-declared pubkeys"]
     r = lenient.verify_bytes(spark, b"", lenient.Options(expected_root=root))
-    assert not r.valid and r.errors[0]["error_type"] == "root_mismatch" and r.warnings == [lenient.W_EMPTY]
+    assert not r.valid and r.errors[0]["error_type"] == "root_mismatch" and r.warnings == [messages.W_EMPTY]
 
 
 def test_strict_log_under_lenient_has_a_hint(spark):
@@ -117,7 +117,7 @@ def test_strict_log_under_lenient_has_a_hint(spark):
     r = lenient.verify_bytes(spark, queries.to_bytes(log))
     assert not any("--strict" in w for w in r.warnings)
     lenient.profile_hint(r)
-    assert r.warnings[-1] == lenient.W_PROFILE
+    assert r.warnings[-1] == messages.W_PROFILE
 
 
 def write(directory, rows, cuts, newline=True):
@@ -153,4 +153,4 @@ def test_parse_errors_have_the_line_in_the_whole_log(spark, tmp_path):
     write(tmp_path, ["y"], {"02.wal": (0, 1)})
     r = lenient.verify_directory(spark, str(tmp_path))
     assert [e["details"].split(":")[0] for e in r.errors] == ["line 2", "line 4"]
-    assert r.warnings == [lenient.W_EMPTY]
+    assert r.warnings == [messages.W_EMPTY]

@@ -91,7 +91,7 @@ def test_jsonl(spark, log, tmp_path, capsys):
     lines = [json.loads(x) for x in out.read_text().splitlines()]
     assert code == 0 and "Exported 10 records" in err
     assert lines[:-1] == rows and list(lines[0]) == sorted(lines[0])
-    assert lines[-1] == {"kind": "spine_export_manifest", "exported_count": 10, "source_chain_root": expected, "filtered_export_digest": expected, "from": None, "to": None}
+    assert lines[-1] == {"kind": export.KIND, "exported_count": 10, "source_chain_root": expected, "filtered_export_digest": expected, "from": None, "to": None}
     assert json.loads((tmp_path / "out.jsonl.manifest.json").read_text()) == lines[-1]
     assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["out.jsonl", "out.jsonl.manifest.json"]
 
@@ -169,7 +169,7 @@ def test_verify_command(spark, log, tmp_path, capsys):
 
 def test_keystores(spark, tmp_path):
     f = tmp_path / "k.json"
-    good = {"schema": "spine-keystore-v1", "keys": {"b": KEY.public.hex(), "a": KEY.public.hex().upper()}}
+    good = {"schema": keystore.SCHEMA, "keys": {"b": KEY.public.hex(), "a": KEY.public.hex().upper()}}
     f.write_text(json.dumps(good))
     k = keystore.Keystore.load(spark, str(f))
     assert list(k) == ["a", "b"] and len(k) == 2 and not k.is_empty() and k["a"] == KEY.public
