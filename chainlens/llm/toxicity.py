@@ -2,7 +2,8 @@
 
 Labels are of documents, so the tokens' labels are derived first, from a bounded sample of labelled rows: a word or a
 word's beginning is marked if it occurs in so many of the toxic documents, and so few others, that chance can't explain it
-(binomial tail, times the number of candidates); then again among the toxic documents that no mark explains yet. A token
+(binomial tail, times the number of candidates); then again among the toxic documents that no mark explains yet. What a
+text has twice or three times is a candidate of its own, as a beginning may be chance once, and not when repeated. A token
 is labelled toxic if it is in a toxic document and has a mark. A CRF of two states (toxic, other) with the marks as
 features and learned transitions is fitted to windows of the sample by gradient ascent of the conditional likelihood.
 
@@ -20,7 +21,7 @@ from __future__ import annotations
 import re
 import sys
 from collections import Counter, defaultdict
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass
 from math import exp, lgamma, log
 
@@ -31,13 +32,30 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, texts_of
 
-SAMPLE, CHARS, WINDOWS, WINDOW, STEPS, PREFIXES, CHANCE = {1: 1_200, 0: 3_600}, 6_000, 2_400, 48, 60, (4, 5, 6), 1e-3
+SAMPLE, CHARS, WINDOWS, WINDOW, STEPS, PREFIXES, REPEATS, CHANCE = {1: 1_200, 0: 3_600}, 6_000, 2_400, 48, 60, (4, 5, 6, 7), (2, 3), 1e-3
 _TOKEN = re.compile(r"\w+")
 
 
 def features(token: str) -> list[str]:
     w = token.lower()
-    return [w, *(f"{w[:k]}*" for k in PREFIXES if len(w) >= k)]
+    return [f"{w}=", *(f"{w[:k]}*" for k in PREFIXES if len(w) >= k)]
+
+
+def counted(found: Mapping[str, int]) -> Iterator[str]:
+    """The candidates of a text whose features occur so often: each once, and again as repeated."""
+    for f, n in found.items():
+        yield f
+        for k in REPEATS:
+            if n >= k:
+                yield f"{f}{k}"
+
+
+def candidates(tokens: list[str]) -> set[str]:
+    found: dict[str, int] = defaultdict(int)
+    for t, n in Counter(tokens).items():
+        for f in features(t):
+            found[f] += n
+    return set(counted(found))
 
 
 def _tail(k: int, n: int, p: float) -> float:
@@ -82,18 +100,16 @@ def mine(toxic: Iterable[set[str]], clean: Iterable[set[str]]) -> list[str]:
         explained |= posts[best[1]]
     # of a word and its beginnings that are found in nearly the same documents, the longest says most
     longest: set[str] = set()
-    for f in sorted(marks, key=lambda f: (-len(f.rstrip("*")), f)):
-        stem = f.rstrip("*")
-        if not any(len(posts[g]) >= 0.9 * len(posts[f]) for g in longest if g.startswith(stem)):
+    for f in sorted(marks, key=lambda f: (-len(_stem(f)), f)):
+        if not any(len(posts[g]) >= 0.9 * len(posts[f]) for g in longest if _stem(g).startswith(_stem(f)) and _stem(g) != _stem(f)):
             longest.add(f)
-    for f in sorted(fit - marks, key=lambda f: (-len(f.rstrip("*")), f)):  # a longer form may have missed the first test by a hair
-        for g in [g for g in longest if g.endswith("*") and f.startswith(g.rstrip("*")) and f.rstrip("*") != g.rstrip("*")]:
-            if len(posts[f]) >= 0.9 * len(posts[g]):
-                longest.discard(g)
-                longest.add(f)
     return sorted(longest)
 
 
+def _stem(mark: str) -> str:
+    return mark.rstrip("23").rstrip("*=")
+
+
 @dataclass
 class Model:
     weights: dict[str, float]
@@ -162,12 +178,12 @@ def fit(windows: list[list[tuple[list[str], int]]], marks: list[str]) -> Model:
 def train(rows: list[tuple[str, int]]) -> Model:
     """rows: (text, 1 if toxic). Tokens are made anew in each pass, and never held for all rows."""
     tokens = lambda text: _TOKEN.findall(text[:CHARS])
-    sets = lambda label: ({f for t in set(tokens(text)) for f in features(t)} for text, y in rows if y == label)
+    sets = lambda label: (candidates(tokens(text)) for text, y in rows if y == label)
     marks = mine(sets(1), sets(0))
-    own_marks = _Marks(marks)
+    own = _Marks(marks)
     hit, plain = [], []
     for k, (text, _) in enumerate(rows):
-        marked = [bool(own_marks[t]) for t in tokens(text)]
+        marked = [bool(x) for x in own.of(tokens(text))]
         for at in range(0, len(marked), WINDOW):
             (hit if any(marked[at : at + WINDOW]) else plain).append((k, at))
     windows = []
@@ -176,33 +192,44 @@ def train(rows: list[tuple[str, int]]) -> Model:
         for k, at in found[:: max(1, -(-len(found) // (WINDOWS // 2)))]:
             chosen[k].append(at)
         for k, begins in chosen.items():
-            words, y = tokens(rows[k][0]), rows[k][1]
-            windows += [[(own_marks[t], int(bool(own_marks[t]) and y)) for t in words[at : at + WINDOW]] for at in begins]
+            found_marks, y = own.of(tokens(rows[k][0])), rows[k][1]
+            windows += [[(x, int(bool(x) and y)) for x in found_marks[at : at + WINDOW]] for at in begins]
     return fit(windows, marks)
 
 
 class _Marks(dict):
-    """The marks of a token."""
+    """The features of a token that marks are made of; a bounded cache."""
+
+    MOST = 100_000
 
-    def __init__(self, marks: list[str]):
+    def __init__(self, marks: Iterable[str]):
         super().__init__()
-        self.known = frozenset(marks)
+        self.marks = frozenset(marks)
+        self.roots = frozenset(m.rstrip("23") for m in marks)
 
-    def __missing__(self, token: str) -> list[str]:
-        own = [f for f in features(token) if f in self.known]
-        if len(self) < 200_000:
+    def __missing__(self, token: str) -> tuple[str, ...]:
+        own = tuple(f for f in features(token) if f in self.roots)
+        if len(self) >= self.MOST:
+            self.clear()
+        if len(token) <= 64:
             self[token] = own
         return own
 
+    def of(self, tokens: list[str]) -> list[list[str]]:
+        """The marks of each token of a text."""
+        roots = list(map(self.__getitem__, tokens))
+        if not any(roots):
+            return [[]] * len(tokens)
+        found = Counter(f for own in roots for f in own)
+        marks = {f: [m for m in counted({f: n}) if m in self.marks] for f, n in found.items()}
+        return [[m for f in own for m in marks[f]] for own in roots]
 
-class Tagger(dict):
-    """Odds of tokens' potentials, by token; a bounded cache."""
 
-    MOST = 300_000
+class Tagger:
+    """Marginals of texts' tokens, as odds."""
 
     def __init__(self, model: Model):
-        super().__init__()
-        self.m, self.plain = model, exp(max(-30.0, model.bias))
+        self.m, self.plain, self.marks = model, exp(max(-30.0, model.bias)), _Marks(model.weights)
         n = 80
         f, b = _chain(np.full((n, 1), self.plain), model.trans, exp(model.start))
         # the largest odds in a text of n tokens without marks; from 80 tokens on it doesn't change
@@ -210,26 +237,25 @@ class Tagger(dict):
         for k in range(1, n + 1):
             self.of_plain.append(float((f[:k, 0] * b[n - k :, 0]).max()))
 
-    def __missing__(self, token: str) -> float:
-        s = sum(self.m.weights.get(f, 0.0) for f in features(token))
-        g = self.plain if not s else exp(min(30.0, max(-30.0, self.m.bias + s)))
-        if len(self) >= self.MOST:
-            self.clear()
-        if len(token) <= 64:
-            self[token] = g
-        return g
+    def potentials(self, tokens: list[str]) -> np.ndarray | None:
+        """The odds of the tokens' own potentials; None if none has a mark."""
+        own = self.marks.of(tokens)
+        if not any(own):
+            return None
+        return np.array([exp(min(30.0, max(-30.0, self.m.bias + sum(map(self.m.weights.__getitem__, x))))) if x else self.plain for x in own])
 
     def odds(self, texts: list[str]) -> list[np.ndarray | float]:
         """Of each text the odds of each token, or their maximum if no token has a mark."""
-        get, plain = self.__getitem__, self.plain
+        plain = self.plain
         out: list = [0.0] * len(texts)
         own: list[tuple[int, np.ndarray]] = []
         for i, t in enumerate(texts):
-            g = list(map(get, _TOKEN.findall(t)))
-            if g.count(plain) == len(g):
-                out[i] = self.of_plain[min(len(g), len(self.of_plain) - 1)]
+            tokens = _TOKEN.findall(t)
+            g = self.potentials(tokens)
+            if g is None:
+                out[i] = self.of_plain[min(len(tokens), len(self.of_plain) - 1)]
             else:
-                own.append((i, np.array(g)))
+                own.append((i, g))
         # texts of like length run in step; a padding token is one without weight on either side
         own.sort(key=lambda x: len(x[1]))
         lo = 0
