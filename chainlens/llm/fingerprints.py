@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import linkage
-from .common import mix, shingle_hashes
+from .common import give_back, map_batches, mix, shingle_hashes, texts_of
 
 PERMS, WIDTH, BANDS, THRESHOLD = 128, 5, 32, 0.8
 #: Rows of a bucket of with_next(), about; and the most buckets.
-BUCKET_ROWS, MOST_BUCKETS = 400, 100_000
+BUCKET_ROWS, MOST_BUCKETS = 400, 400_000
 _RNG = np.random.Generator(np.random.PCG64(20240117))
 _A = _RNG.integers(0, 1 << 63, PERMS, np.uint64) << np.uint64(1) | np.uint64(1)
 _B = _RNG.integers(0, (1 << 64) - 1, PERMS, np.uint64)
@@ -65,8 +65,6 @@ def _hex(sig: np.ndarray) -> list[str]:
 
 def fingerprints(docs: DataFrame, *, text: str = "text", by: str = "doc_id") -> DataFrame:
     """(by, fingerprint) of every row."""
-    from .common import map_batches, texts_of
-
     kind = docs.schema[by].dataType.simpleString()
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -98,7 +96,6 @@ def with_next(docs: DataFrame, fn, schema: str, *, text: str = "text", by: str =
     Only one shuffle moves texts: rows go to ranges of ids, and the first row of each range also to the range before, where it
     follows the last.
     """
-    spark = docs.sparkSession
     src = docs.select(F.col(by).cast("long").alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     # cut points of about BUCKET_ROWS rows each, by rank; a few longs for each bucket go to the driver
     rows = src.count()
@@ -121,7 +118,7 @@ def with_next(docs: DataFrame, fn, schema: str, *, text: str = "text", by: str =
         own = np.searchsorted(cuts, ids, side="right")
         return pd.Series([[o, p] if first else [o] for o, p, first in zip(own, prev[at], begins[at] == ids, strict=True)])
 
-    dealt = src.where(F.col("i").isNotNull()).select("i", "t", F.posexplode(places("i")).alias("tail", "b")).repartition(max(1, min(n, 4 * spark.sparkContext.defaultParallelism, 10_000) if n < 1000 else n // 8), "b").sortWithinPartitions("b", "tail", "i", "t")
+    dealt = src.where(F.col("i").isNotNull()).select("i", "t", F.posexplode(places("i")).alias("tail", "b")).repartition(-(-n // 8), "b").sortWithinPartitions("b", "tail", "i", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts, nexts, extra = [], [], [], []
@@ -156,6 +153,7 @@ def with_next(docs: DataFrame, fn, schema: str, *, text: str = "text", by: str =
                     held = (i, t, b)
         if ids:
             yield flush()
+        give_back()
 
     return dealt.mapInArrow(run, schema)
 
