@@ -76,7 +76,7 @@ def texts_of(batch: pa.RecordBatch, name: str) -> list[str]:
     return [x or "" for x in column(batch, name).to_pylist()]
 
 
-def pieces(batch: pa.RecordBatch, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in slices of bounded size, so that the working memory of an operator doesn't grow with the batch."""
     n = batch.num_rows
     step = max(1, int(n * most_bytes / max(1, batch.nbytes))) if n else 1

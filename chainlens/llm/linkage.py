@@ -70,7 +70,7 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
 def _sketched(docs: DataFrame, sketch: Sketch, text: str, by: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, 4 << 20):
+            for part in pieces(batch, 2 << 20):
                 texts = texts_of(part, "t")
                 keys, marks, size = sketch(texts)
                 digest = [xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in texts]
@@ -100,7 +100,7 @@ def _verified(pairs: DataFrame, likeness: Callable[[np.ndarray, np.ndarray], flo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, 8 << 20):
+            for part in pieces(batch):
                 a, b, near = column(part, "a").to_pylist(), column(part, "b").to_pylist(), []
                 at: dict[int, int] = {}
                 texts: list[str] = []
