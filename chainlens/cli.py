@@ -1,19 +1,21 @@
-"""python -m chainlens.cli verify | inspect | export. Exit codes: 0 all well, 1 done with issues, 2 the command could not run."""
+"""python -m chainlens.cli verify | inspect | export | seed. Exit codes: 0 all well, 1 done with issues, 2 the command could not run."""
 
 from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import SparkSession
 
 from .functions import messages, record
+from .functions.seeds import seed_of
 from .operators import digest as dg
 from .operators import export as ex
 from .operators import inspect as ins
-from .plans import lenient, reports, strict
+from .plans import demo, lenient, reports, strict
 from .sources import segments
 from .sources.keystore import Keystore, KeystoreError
 
@@ -50,6 +52,11 @@ def parser() -> argparse.ArgumentParser:
     i.add_argument("-n", "--last", type=int, default=10)
     i.add_argument("--sequence", type=int)
     i.add_argument("--stats", action="store_true")
+    d = sub.add_parser("seed", help="write the demonstration log")
+    d.add_argument("-f", "--format", choices=("json", "text", "quiet"), default=argparse.SUPPRESS)
+    d.add_argument("--output-dir", default="out")
+    d.add_argument("--non-interactive", action="store_true")
+    d.add_argument("--deterministic-seed", type=int)
     return p
 
 
@@ -137,7 +144,23 @@ def export(spark: SparkSession, a: argparse.Namespace) -> bool:
     return True
 
 
-COMMANDS: dict[str, Callable[[SparkSession, argparse.Namespace], bool]] = {"verify": verify, "inspect": inspect, "export": export}
+def seed(spark: SparkSession, a: argparse.Namespace) -> bool:
+    """A key of one's own is shown once, on the terminal, and written nowhere; so it needs somebody there."""
+    if a.non_interactive and a.deterministic_seed is None:
+        raise UsageError("--non-interactive requires --deterministic-seed")
+    own = os.urandom(32) if a.deterministic_seed is None else seed_of(a.deterministic_seed)
+    if not a.non_interactive:
+        input(f"The demonstration log goes to {a.output_dir}. Press Enter to continue, Ctrl-C to abort.")
+    root = demo.write(spark, a.output_dir, own)
+    if not a.non_interactive:
+        print(f"Private key, shown once: {own.hex()}", file=sys.stderr)
+        input("Press Enter once you have it.")
+    if a.format != "quiet":
+        print(f"Generated {len(demo.SCENARIO)} records in {a.output_dir}\nChain root: {root}", file=sys.stderr)
+    return True
+
+
+COMMANDS: dict[str, Callable[[SparkSession, argparse.Namespace], bool]] = {"verify": verify, "inspect": inspect, "export": export, "seed": seed}
 
 
 def run(argv: Sequence[str], spark: SparkSession | None = None) -> int:

@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 
 from ..functions import record, sql, text
 from ..functions.ed25519 import SigningKey
+from ..functions.seeds import seed_of
 from ..operators import adjacency, export, inspect, records, seal
 from ..operators.digest import NONE, receipt_checks
 from ..operators.root import chain_root_of
 from ..sources import keystore, scratch, segments, tables
 from ..streaming.verifier import StreamVerifier
-from . import lenient, reports, strict
+from . import demo, lenient, reports, strict
 from . import vectors as V
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -593,6 +594,18 @@ def strict_unknown_keys(spark, sf_dir):
     return spark.createDataFrame([(n, f[2].get("field") if f else None) for n, f in found], "name string, unknown string")
 
 
+@query("SELECT CAST(unnest([20]) AS BIGINT) AS records, 'c36bd135f17fbd48' AS root, 'valid' AS status, 'invalid: payload_hash_mismatch' AS edited")
+def demo_log(spark, sf_dir):
+    """The demonstration log of the published fixture's key, verified as it is and with one amount changed."""
+    key = SigningKey(seed_of(42))
+    data, root = demo.sealed(key)
+    lines = spark.createDataFrame([(i, x) for i, x in enumerate(data.decode().splitlines(), 1)], "n int, line string")
+    edited = lines.select("n", F.when(F.col("n") == demo.EDIT_TARGET, text.rewrite_amount(F.col("line"), "100000.00 EUR")).otherwise(F.col("line")).alias("line")).orderBy("n").collect()
+    pin = key.public.hex()
+    good, bad = strict.verify_bytes(spark, data, pin, root), strict.verify_bytes(spark, "\n".join(r["line"] for r in edited).encode(), pin, root)
+    return _row(spark, records=good.events_verified, root=good.chain_root[:16], status=good.status, edited=reports.outcome_text(bad.records[-1]))
+
+
 # Whole sealed logs: the events table as one chain
 
 def _row(spark: SparkSession, **cells: object) -> DataFrame:

@@ -88,6 +88,11 @@ def pretty(value: Any) -> str:
     return json.dumps(value.as_dict() if hasattr(value, "as_dict") else value, ensure_ascii=False, indent=2)
 
 
+def blank_is_none(root: str | None) -> str | None:
+    """A root as a host page gives it: blank text means that there is none."""
+    return root.strip() or None if root is not None else None
+
+
 def envelope(report: LenientReport | StrictReport) -> str:
     """The report in the envelope that a host page takes."""
     try:

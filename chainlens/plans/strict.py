@@ -24,7 +24,7 @@ from ..functions.strict_json import JsonError, dumps, parse
 from ..operators import splits
 from ..operators.digest import ASCII_BLANK
 from ..sources import segments
-from .reports import StrictReport
+from .reports import StrictReport, envelope
 
 # Fixed values of the profile.
 MAX_RECORDS = 100_000
@@ -295,3 +295,7 @@ def verify_directory(spark: SparkSession, directory: str, expected_pubkey: str,
 def verify_bytes(spark: SparkSession, data: bytes, expected_pubkey: str, expected_root: str, manifest_version: int = 1, parts: int = 1, *, iso: bool = True) -> StrictReport:
     return verify_scan(segments.scan_bytes(spark, data, parts), expected_pubkey, expected_root, manifest_version, iso=iso)
 
+
+def verify_bytes_json(spark: SparkSession, data: bytes, expected_pubkey: str, expected_root: str, manifest_version: int = 1) -> str:
+    """The report in the envelope of host pages, whose times are integers."""
+    return envelope(verify_bytes(spark, data, expected_pubkey, expected_root, manifest_version, iso=False))

@@ -154,3 +154,14 @@ def test_parse_errors_have_the_line_in_the_whole_log(spark, tmp_path):
     r = lenient.verify_directory(spark, str(tmp_path))
     assert [e["details"].split(":")[0] for e in r.errors] == ["line 2", "line 4"]
     assert r.warnings == [messages.W_EMPTY]
+
+
+def test_errors_as_a_frame(spark):
+    from chainlens.sources import segments
+
+    v = lenient.LenientVerification(segments.scan_bytes(spark, b"x\n" * 50, 7))
+    r = v.report(list_errors=False)
+    assert not r.valid and not r.errors
+    assert v.errors.where("error_type = 'parse_error'").count() == 50
+    assert sorted(e["line"] for e in v.errors.collect()) == list(range(50))
+    v.digest.release()

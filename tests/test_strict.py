@@ -2,9 +2,12 @@ import json
 
 import pytest
 
+from chainlens import cli
+from chainlens.functions import seeds
 from chainlens.functions.ed25519 import SigningKey
 from chainlens.operators import seal
-from chainlens.plans import lenient, queries, reports, strict
+from chainlens.plans import demo, lenient, queries, reports, strict
+from chainlens.sources import manifest
 
 KEY = SigningKey(queries.SEED)
 PIN = KEY.public.hex()
@@ -102,3 +105,37 @@ def test_sealing_many_chains(spark):
 def test_seeds_have_32_bytes():
     with pytest.raises(ValueError):
         SigningKey(b"short")
+
+
+def test_seeds_from_numbers():
+    # Fixed values of RFC 8439, 2.3.2, whose counter and nonce are laid out as here.
+    block = seeds.chacha20_block(bytes(range(32)), 1 | 0x09000000 << 32, 0x4A000000)
+    assert block[:16].hex() == "10f1e7e4d13b5915500fdd1fa32071c4"
+    assert seeds.seed_of(42) != seeds.seed_of(43) and len(seeds.seed_of(2**64 - 1)) == 32
+
+
+def test_demonstration_log(spark, tmp_path, capsys):
+    d = tmp_path / "out"
+    assert cli.run(["seed", "--output-dir", str(d), "--non-interactive"], spark) == 2
+    assert cli.run(["seed", "--output-dir", str(d), "--non-interactive", "--deterministic-seed", "42"], spark) == 0
+    assert sorted(p.name for p in d.iterdir() if p.name[0] != ".") == ["demo-manifest.json", "demo.expected_root", "demo.jsonl", "demo.pubkey"]
+    root = (d / "demo.expected_root").read_text().strip()
+    assert root.startswith("c36bd135f17fbd48")  # Fixed value: the published fixture's root
+    assert demo.verify(spark, str(d / "demo-manifest.json"), str(d / "demo.jsonl")).status == "valid"
+    (d / ".demo.jsonl.crc").unlink()  # else the local file system itself refuses changed bytes
+    (d / "demo.jsonl").write_text((d / "demo.jsonl").read_text().replace("100.00", "900.00"))
+    with pytest.raises(manifest.ManifestError, match="pins"):
+        demo.verify(spark, str(d / "demo-manifest.json"), str(d / "demo.jsonl"))
+    for bad in (b"{", b"{}", b'{"schema_version":2}', b'{"schema_version":1}'):
+        with pytest.raises(manifest.ManifestError):
+            manifest.Manifest.from_json(bad)
+    capsys.readouterr()
+
+
+def test_envelopes_of_host_pages(spark):
+    log, root = queries.small_log(2, "strict")
+    data = queries.to_bytes(log)
+    assert json.loads(strict.verify_bytes_json(spark, data, PIN, root))["report"]["status"] == "valid"
+    for blank in (None, "", "  "):
+        assert json.loads(lenient.verify_bytes_json(spark, data, blank))["report"]["warnings"]
+    assert json.loads(lenient.verify_bytes_json(spark, data, "1" * 64))["report"]["errors"][-1]["error_type"] == "root_mismatch"
