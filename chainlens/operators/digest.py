@@ -291,6 +291,10 @@ def _seams(head: Column, before: Column) -> Column:
     return F.when(head.isNull(), F.array().cast("array<struct<rank int, error_type string, details string>>")).otherwise(F.filter(F.array(link, gap, time), lambda x: x.isNotNull()))
 
 
+#: Blocks up to which their places are computed by a loop on the driver.
+DRIVER_BLOCKS = 5_000
+
+
 @dataclass
 class Origin:
     """What came before the scan: lines and records, and the last record's side."""
@@ -307,7 +311,7 @@ class Digest:
     parts: DataFrame
     blocks: DataFrame
     #: blocks, lines, records, errors, seams, warnings, kept and the counters of the whole; head and tail
-    totals: Row
+    totals: Row | dict
 
     @property
     def n_blocks(self) -> int:
@@ -348,6 +352,16 @@ def digest(scan: DataFrame, checks: Checks, origin: Origin = Origin()) -> Digest
     first = lambda f, c: F.expr(f"{f}({c}, first_record) FILTER (WHERE records > 0)").alias(c)
     sizes = [F.sum(F.size(c)).alias(f"n_{c}") for c in ("errors", "warnings")]
     sums = parts.groupBy("name", "block").agg(F.sum("lines").alias("lines"), F.sum("records").alias("records"), first("min_by", "head"), first("max_by", "tail"), *sizes, *[F.sum(c).alias(c) for c in COUNTERS])
+    few = sums.limit(DRIVER_BLOCKS + 1).collect()
+    if len(few) <= DRIVER_BLOCKS:
+        blocks, totals = _placed_here(sums, few, origin)
+    else:
+        blocks, totals = _placed_there(sums, origin)
+    return Digest(parts, blocks, totals)
+
+
+def _placed_there(sums: DataFrame, origin: Origin) -> tuple[DataFrame, Row]:
+    """The blocks with their places and seams, and the log's totals; by windows."""
     blocks = splits.placed(sums, ("lines", "records", "kept"))
     if origin.tail is not None:
         side = F.struct(*[F.lit(origin.tail.get(k)).cast(t).alias(k) for k, t in (("line", "long"), ("sequence", "string"), ("ts", "long"), ("hash", "string"))])
@@ -357,4 +371,58 @@ def digest(scan: DataFrame, checks: Checks, origin: Origin = Origin()) -> Digest
     total = lambda c, name=None: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name or c)
     filled = "FILTER (WHERE records > 0)"
     totals = blocks.agg(F.count("*").alias("blocks"), total("lines"), total("records"), total("n_errors", "errors"), total("n_warnings", "warnings"), total(F.size("seams"), "seams"), *[total(c) for c in COUNTERS], F.expr(f"min_by(head, record_at) {filled}").alias("head"), F.expr(f"max_by(tail, record_at) {filled}").alias("tail"), F.min("name").alias("first_name"), F.max("name").alias("last_name")).first()
-    return Digest(parts, blocks, totals)
+    return blocks, totals
+
+
+def _seams_here(head: Row, before: Mapping | None) -> list[tuple[int, str, str]]:
+    """As _seams(), of one block."""
+    out = []
+    seq, m = int(head["sequence"]), messages
+    if before is None:
+        if seq != 1:
+            out.append((LINK, "invalid_genesis", m.GENESIS_SEQUENCE.format(found=seq)))
+        elif head["hash"] != record.GENESIS_PREV_HASH:
+            out.append((LINK, "invalid_genesis", m.GENESIS_HASH.format(expected=record.GENESIS_PREV_HASH[:16], found=head["hash"])))
+        return out
+    last = int(before["sequence"])
+    expected = min(last + 1, record.U64[1])
+    if before["hash"] != head["hash"]:
+        out.append((LINK, "chain_break", m.CHAIN_BREAK.format(expected=before["hash"], found=head["hash"])))
+    if seq != expected:
+        out.append((SEQUENCE, "sequence_gap", m.SEQUENCE_GAP.format(expected=expected, previous=last, found=seq)))
+    if head["ts"] < before["ts"]:
+        out.append((TIMESTAMP, "timestamp_regression", m.TIMESTAMP_REGRESSION.format(found=head["ts"], previous=before["ts"])))
+    return out
+
+
+def _placed_here(sums: DataFrame, rows: list[Row], origin: Origin) -> tuple[DataFrame, dict]:
+    """As _placed_there(), for blocks so few that a loop over them is quicker than the shuffles."""
+    counts = ("lines", "records", "kept")
+    sides = ("line", "sequence", "ts", "hash")
+    at = dict.fromkeys(counts, 0)
+    before = {k: origin.tail.get(k) for k in sides} if origin.tail is not None else None
+    side = lambda x: None if x is None else tuple(x[k] for k in sides)
+    out, name, name_line_at, seams = [], None, 0, 0
+    names = sums.columns
+    for r in sorted(rows, key=lambda r: (r["name"].encode(), r["block"])):
+        if r["name"] != name:
+            name, name_line_at = r["name"], 0
+        own = _seams_here(r["head"], before) if r["head"] is not None else []
+        seams += len(own)
+        out.append((*(side(r[c]) if c in ("head", "tail") else r[c] for c in names), at["lines"] + origin.lines, at["records"] + origin.records, at["kept"], name_line_at, side(before), own))
+        name_line_at += r["lines"]
+        for c in counts:
+            at[c] += r[c]
+        if r["tail"] is not None:
+            before = r["tail"].asDict()
+    kinds = {"name": pa.string(), "head": _P_SIDE, "tail": _P_SIDE, "before": _P_SIDE, "seams": pa.list_(pa.struct([("rank", pa.int32()), ("error_type", pa.string()), ("details", pa.string())]))}
+    columns = [*names, "line_at", "record_at", "kept_at", "name_line_at", "before", "seams"]
+    fields = {"before": sides, "head": sides, "tail": sides}
+    cell = lambda c, x: dict(zip(fields[c], x, strict=True)) if c in fields and x is not None else [dict(zip(("rank", "error_type", "details"), e, strict=True)) for e in x] if c == "seams" else x
+    table = pa.table({c: pa.array([cell(c, r[k]) for r in out], kinds.get(c, pa.int64())) for k, c in enumerate(columns)})
+    blocks = sums.sparkSession.createDataFrame(table)  # a local relation, which needs no job
+    total = lambda c: sum(r[c] for r in rows)
+    filled = [r for r in out if r[names.index("records")]]
+    end = lambda k, c: dict(zip(sides, filled[k][names.index(c)], strict=True)) if filled else None
+    totals = {"blocks": len(rows), "lines": total("lines"), "records": total("records"), "errors": total("n_errors"), "warnings": total("n_warnings"), "seams": seams, **{c: total(c) for c in COUNTERS}, "head": end(0, "head"), "tail": end(-1, "tail"), "first_name": out[0][names.index("name")] if out else None, "last_name": out[-1][names.index("name")] if out else None}
+    return blocks, totals

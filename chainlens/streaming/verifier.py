@@ -146,7 +146,7 @@ class StreamVerifier:
         else:
             (counts, rows), added, last = lenient.prefix_of(digest, halt), halt["record"] - s.records, lenient.last_before(halt)
         if totals["head"] is not None and last is not None:
-            s.first = s.first or totals["head"].asDict()
+            s.first = s.first or {k: totals["head"][k] for k in ("line", "sequence", "ts", "hash")}
             s.tail = {k: last[k] if k in ("sequence", "ts") or halt is None else None for k in ("line", "sequence", "ts", "hash")}
         if added:
             h = s.hash()

@@ -66,8 +66,10 @@ def damaged(rng, n):
     return queries.to_bytes(out)
 
 
+@pytest.mark.parametrize("driver_blocks", [dg.DRIVER_BLOCKS, 0])
 @pytest.mark.parametrize("seed", range(6))
-def test_as_the_loop_does(spark, seed):
+def test_as_the_loop_does(spark, seed, driver_blocks, monkeypatch):
+    monkeypatch.setattr(dg, "DRIVER_BLOCKS", driver_blocks)  # places by the loop, and by windows
     rng = random.Random(seed)
     data = damaged(rng, 40)
     if seed % 2:
