@@ -7,16 +7,19 @@ import contextlib
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of a scratch table are deleted at the end of the process, or as soon as an operator knows that nobody reads them.
 _SCRATCH: list[tuple[SparkSession, str]] = []
 _OWN: dict[str, str] = {}
+#: Fixed-width tables are broadcast up to so many bytes, as counted before; more are joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,9 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one where it is unset and all tasks run in this process (local mode)."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: executors need a folder that they share with the driver")
         found = _OWN.setdefault("dir", "") or _OWN.update(dir=tempfile.mkdtemp(prefix="chainlens-scratch-")) or _OWN["dir"]
     return found.rstrip("/")
 
@@ -61,12 +66,26 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df, whose rows were counted, marked for broadcast if it is small. Its columns must be of fixed width."""
+    width = sum(8 * (1 + (f.dataType.typeName() in ("binary", "string"))) for f in df.schema.fields)  # digests have 16 bytes
+    return F.broadcast(df) if rows * width <= BROADCAST_BYTES else df
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes the table of stored()."""
     if path := getattr(df, "_chainlens_path", None):
         delete(df.sparkSession, path)
 
 
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """name, with as many underscores at its end as keep it apart from those taken (names differ by more than case)."""
+    used = {x.lower() for x in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

@@ -1,23 +1,27 @@
 """Language identification by cross-parsing entropy.
 
 For each language, a suffix automaton of a bounded sample of its labelled text accepts all substrings of that sample.
-A text is parsed greedily into longest matches against each automaton; the language that needs the fewest phrases,
-each weighted by the bits that point into its sample (log2 of the sample's length), wins.
+A text is parsed greedily into longest matches against each automaton; a letter that the sample lacks is a phrase by
+itself. The language that needs the fewest phrases, each weighted by the bits that point into its sample (log2 of the
+sample's length; a letter that the sample lacks by LITERAL bits), wins. Each language has its own alphabet, of all letters
+of its sample; what is no letter is one symbol.
 
-The parse runs in lockstep: texts are cut into blocks of BLOCK code points, a phrase ends at a block's end, and one
-numpy step moves all blocks of a batch in all languages one code point on. Every block counts, so whole texts do.
+The parse runs in lockstep, yet is exactly the sequential one: texts are cut into blocks of BLOCK code points, and one numpy
+step moves all blocks of a batch one code point on, as if a phrase began with each block. Then the parse that is open at a
+block's end goes on into the next ones until it begins a phrase where the block there began one too; from there on both
+are the same, so counts before that place are replaced. Whole texts count.
 
-Bounds, which hold at every size of the input: SLOTS documents a language, CHARS code points of sample a language,
-STATES states in all (with very many languages each sample gets shorter).
+Bounds on what is learned from, at every size of the input: SLOTS documents a language (of each of SLOTS slots the row of the
+least hash; with over SAMPLED / SLOTS languages fewer slots), CHARS code points a language, dealt evenly to its documents,
+each giving one window at a hashed place. SYMBOLS bounds the code points of all languages: with over SYMBOLS / CHARS of them,
+each sample is shorter. Any number of languages is learned.
 
-Defined cases: a text that is null or has no letter is `und` with score 0, as is every text if nothing is labelled;
-ties go to the language that sorts first; repeated rows are predicted alike; other columns are not read.
+Defined cases: a text that is null or has no letter (str.isalpha) is `und` with score 0, as is every text if nothing is
+labelled; ties go to the language that sorts first; repeated rows are predicted alike; other columns are not read.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,13 +29,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, texts_of
+from .common import dropped, map_batches, stored, texts_of
 
-SLOTS, CHARS, DOC_CHARS, STATES, BLOCK = 128, 24_000, 1_500, 4_000_000, 256
-#: Code of letters that no sample has, of everything that is no letter, and of the padding after a text.
+SLOTS, SAMPLED, CHARS, SYMBOLS, BLOCK = 128, 128_000, 24_000, 8_000_000, 256
+#: Cells of all plain tables; languages beyond them, or whose alphabets are wide, have packed ones, which are slower, but give the same.
+CELLS = 16_000_000
+#: Codes of letters that no sample has, of everything that is no letter, and of the padding after a text.
 UNSEEN, GAP, PAD = 0, 1, 2
-_MISS = 29
-_LETTER = re.compile(r"[^\W\d_]")
+#: Bits of a letter that a sample lacks, which no pointer can say: those of any code point.
+LITERAL = 21
+#: The state before a phrase; it has no transitions.
+START = 0
+_LOW, _MISS = np.int64((1 << 32) - 1), 29
+
+
+def lettered(text: str) -> bool:
+    return any(map(str.isalpha, text))
 
 
 def automaton(codes: list[int]) -> list[dict[int, int]]:
@@ -64,116 +77,217 @@ def automaton(codes: list[int]) -> list[dict[int, int]]:
     return trans
 
 
+def packed(trans: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The automaton in one array: a state's number is an offset, at which, plus a code, lies (state << 32 | next state).
+
+    The root's transitions are apart, by code: the states after the first symbol of a phrase, START if there is none.
+    """
+    room = max(1024, 3 * sum(map(len, trans[1:])))
+    used, taken, at = set(), {START}, np.zeros(len(trans), np.int64)
+    seed = 1
+    for s in sorted(range(1, len(trans)), key=lambda s: -len(trans[s])):
+        own = trans[s]
+        while True:  # places are drawn by a generator, so that equal samples give equal tables
+            seed = (seed * 6364136223846793005 + 1442695040888963407) & (1 << 64) - 1
+            base = 1 + (seed >> 33) % room
+            if base not in taken and not any(base + c in used for c in own):
+                break
+        taken.add(base)
+        used.update(base + c for c in own)
+        at[s] = base
+    table = np.full(room + width + 1, -1, np.int64)
+    for s in range(1, len(trans)):
+        for c, q in trans[s].items():
+            table[at[s] + c] = at[s] << 32 | at[q]
+    root = np.zeros(width, np.int64)
+    for c, q in trans[0].items():
+        root[c] = at[q]
+    return table, root
+
+
+def plain(trans: list[dict[int, int]], width: int) -> np.ndarray:
+    """The automaton with all transitions: at state + code, the next state, plus 1 << _MISS if that begins a phrase. States are multiples of width."""
+    first = np.full(width, 1 << _MISS, np.int32)
+    for c, q in trans[0].items():
+        first[c] |= q * width
+    table = np.tile(first, len(trans))
+    at = [s * width + c for s, nexts in enumerate(trans) if s for c in nexts]
+    table[at] = [q * width for s, nexts in enumerate(trans) if s for q in nexts.values()]
+    return table
+
+
 @dataclass
 class Model:
     langs: list[str]
-    chars: str
+    letters: np.ndarray  # code points of all samples, in order
     bits: np.ndarray  # of a pointer into each language's sample
-    roots: np.ndarray
-    table: np.ndarray  # (state * width + code) -> next state * width, plus 1 << _MISS if a phrase ended
-    width: int
-
-    def codes(self) -> np.ndarray:
-        lut = np.full(0x10000, UNSEEN, np.int32)
-        for i in range(0x10000):
-            if not chr(i).isalpha():
-                lut[i] = GAP
-        for i, c in enumerate(self.chars):
-            lut[ord(c)] = i + 3
-        return lut
+    local: list[np.ndarray]  # code (as of letters) -> the language's own code
+    tables: list[np.ndarray]
+    roots: list[np.ndarray | None]  # of packed tables
 
 
 def train(samples: dict[str, str]) -> Model:
     """samples: text by language."""
-    samples = {k: v for k, v in sorted(samples.items()) if _LETTER.search(v)}
-    seen = Counter(c for v in samples.values() for c in v.lower() if c.isalpha() and ord(c) < 0x10000)
-    chars = "".join(sorted(c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:250]))
-    width, code = len(chars) + 3, {c: i + 3 for i, c in enumerate(chars)}
-    tables, roots, bits, base = [], [], [], 0
-    most = min(CHARS, STATES // (2 * max(1, len(samples))))
-    for text in samples.values():
-        text = text.lower()[:most]
-        trans = automaton([code.get(c, UNSEEN) if c.isalpha() else GAP for c in text])
-        root = np.full(width, base | 1 << _MISS, np.int64)
-        for c, q in trans[0].items():
-            root[c] = (base + q * width) | 1 << _MISS
-        t = np.tile(root, (len(trans), 1))
-        for s, nexts in enumerate(trans):
-            for c, q in nexts.items():
-                t[s, c] = base + q * width
-        t[:, UNSEEN] = base | 1 << _MISS
-        t[:, PAD] = base
-        tables.append(t.ravel())
-        roots.append(base)
-        bits.append(np.log2(max(2, len(text))))
-        base += t.size
-    if base >= 1 << _MISS:
-        raise ValueError("the tables of all languages don't fit 29 bits: lower STATES")
-    return Model(list(samples), chars, np.array(bits), np.array(roots, np.int32), np.concatenate(tables).astype(np.int32) if tables else np.zeros(0, np.int32), width)
+    most = min(CHARS, max(1, SYMBOLS // max(1, len(samples))))
+    low = {k: v.lower()[:most] for k, v in sorted(samples.items()) if lettered(v)}
+    own = {k: sorted({c for c in v if c.isalpha()}) for k, v in low.items()}
+    letters = np.array(sorted({ord(c) for v in own.values() for c in v}), np.int64)
+    local, tables, roots, cells = [], [], [], 0
+    for k, text in low.items():
+        code = {c: i + 3 for i, c in enumerate(own[k])}
+        trans, width = automaton([code.get(c, GAP) for c in text]), len(code) + 3
+        if cells + len(trans) * width <= CELLS:
+            cells += len(trans) * width
+            table, root = plain(trans, width), None
+        else:
+            table, root = packed(trans, width)
+        lut = np.zeros(len(letters) + 3, np.int32)
+        lut[GAP], lut[PAD] = GAP, PAD
+        lut[np.searchsorted(letters, [ord(c) for c in own[k]]) + 3] = np.arange(len(code)) + 3
+        local.append(lut)
+        tables.append(table)
+        roots.append(root)
+    return Model(list(low), letters, np.log2([max(2, len(v)) for v in low.values()]), local, tables, roots)
 
 
 class Parser:
     def __init__(self, model: Model):
-        self.model, self.lut = model, model.codes()
+        self.model = model
+        self.lut = np.full(0x110000, GAP, np.int32)
+        self.lut[[i for i in range(0x110000) if chr(i).isalpha()]] = UNSEEN
+        self.lut[model.letters] = np.arange(len(model.letters)) + 3
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Phrases of each text in each language, and the texts' lengths."""
+        """Phrases of each text in each language, and how many of them are letters that the language's sample lacks."""
         m = self.model
         low = [t.lower() for t in texts]
         n = np.array([len(t) for t in low], np.int64)
-        raw = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
-        codes = self.lut[np.minimum(raw, 0xFFFF)]
-        big = raw > 0xFFFF
-        if big.any():
-            codes[big] = [UNSEEN if chr(x).isalpha() else GAP for x in raw[big]]
+        codes = self.lut[np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)]
         blocks = -(-n // BLOCK)
-        grid = np.full((int(blocks.sum()) * BLOCK,), PAD, np.int32)
-        start = (np.concatenate(([0], np.cumsum(blocks)[:-1])) * BLOCK).astype(np.int64)
-        at = np.concatenate(([0], np.cumsum(n)[:-1]))
-        grid[np.arange(len(codes)) - np.repeat(at, n) + np.repeat(start, n)] = codes
-        out = np.zeros((len(texts), len(m.langs)), np.int64)
-        owner = np.repeat(np.arange(len(texts)), blocks)
-        total = len(owner)
-        for lo in range(0, total, 4096):
-            steps = np.ascontiguousarray(grid[lo * BLOCK : (lo + 4096) * BLOCK].reshape(-1, BLOCK).T)
-            for k in range(len(m.langs)):
-                state = np.full(steps.shape[1], m.roots[k], np.int32)
-                ended = np.zeros(steps.shape[1], np.int32)
-                for row in steps:
-                    state += row
-                    state = m.table.take(state)
-                    ended += state >> _MISS
-                    state &= (1 << _MISS) - 1
-                np.add.at(out[:, k], owner[lo : lo + 4096], ended.astype(np.int64) + 1)
-        return out, n
+        first = np.concatenate(([0], np.cumsum(blocks)))
+        grid = np.full(int(first[-1]) * BLOCK, PAD, np.int32)
+        grid[np.arange(len(codes)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[:-1] * BLOCK, n)] = codes
+        grid = grid.reshape(-1, BLOCK)
+        last = np.zeros(len(grid), bool)
+        last[first[1:][blocks > 0] - 1] = True
+        out, lacked, ends = np.zeros((len(texts), len(m.langs)), np.int64), np.zeros((len(texts), len(m.langs)), np.int64), np.cumsum(n)
+        for k in range(len(m.langs)):
+            lack = np.concatenate(([0], np.cumsum(m.local[k][codes] == UNSEEN)))
+            lacked[:, k] = lack[ends] - lack[ends - n]
+            counts, joins = self._parsed(m.local[k][grid], last, m.tables[k], m.roots[k])
+            total = np.concatenate(([0], np.cumsum(counts)))
+            out[:, k] = total[first[1:]] - total[first[:-1]]
+            # parses that stayed apart for more than a block: these texts' blocks are followed one by one
+            for t in np.unique(np.searchsorted(first, joins, side="right") - 1) if len(joins) else ():
+                out[t, k] = _sequential(m.local[k][grid[first[t] : first[t + 1]].ravel()], m.tables[k], m.roots[k])
+        return out, lacked
+
+    def _parsed(self, grid: np.ndarray, last: np.ndarray, table: np.ndarray, root: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases that begin in each block, given the blocks before; and the blocks for which this wasn't found."""
+        n = len(grid)
+        begins = np.zeros((BLOCK, n), bool)
+        kind = np.int32 if root is None else np.int64
+        ends = np.empty(n, kind)
+        for lo in range(0, n, 4096):
+            state = np.full(min(4096, n - lo), START, kind)
+            for j, row in enumerate(np.ascontiguousarray(grid[lo : lo + 4096].T)):
+                state = _step(state, row, table, root, begins[j, lo : lo + 4096])
+            ends[lo : lo + 4096] = state
+        begins &= (grid != PAD).T
+        counts = begins.sum(0)
+        # the open parse of each block but a text's last goes on into the next block
+        into = np.flatnonzero(~last) + 1
+        state, begun, passed = ends[into - 1], np.zeros(len(into), np.int64), np.zeros(len(into), np.int64)
+        for j in range(BLOCK):
+            if not len(into):
+                break
+            hit = np.zeros(len(into), bool)
+            state = _step(state, grid[into, j], table, root, hit)
+            real = grid[into, j] != PAD
+            own = begins[j, into]
+            met = hit & own
+            done = met | ~real
+            # at the meeting place the block's own phrases go on; before it, those begun here count instead
+            counts[into[done]] += begun[done] - passed[done]
+            begun += hit & real
+            passed += own
+            keep = ~done
+            into, state, begun, passed = into[keep], state[keep], begun[keep], passed[keep]
+        return counts, into
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         m = self.model
         if not m.langs or not texts:
             return ["und"] * len(texts), [0.0] * len(texts)
-        count, _ = self.phrases(texts)
-        cost = count * m.bits
+        count, lacked = self.phrases(texts)
+        cost = count * m.bits + lacked * np.maximum(0, LITERAL - m.bits)
         best = cost.argmin(1)
         odds = np.exp2(-np.minimum(60.0, (cost - cost.min(1, keepdims=True)) / 8)).sum(1)
-        lettered = [bool(_LETTER.search(t)) for t in texts]
-        return [m.langs[b] if k else "und" for b, k in zip(best, lettered, strict=True)], [float(1 / o) if k else 0.0 for o, k in zip(odds, lettered, strict=True)]
+        known = [lettered(t) for t in texts]
+        return [m.langs[b] if k else "und" for b, k in zip(best, known, strict=True)], [float(1 / o) if k else 0.0 for o, k in zip(odds, known, strict=True)]
+
+
+def _step(state: np.ndarray, codes: np.ndarray, table: np.ndarray, root: np.ndarray | None, begins: np.ndarray) -> np.ndarray:
+    """The states after codes; begins is set where that was a new phrase."""
+    found = table.take(state + codes)
+    if root is None:
+        np.greater_equal(found, 1 << _MISS, out=begins)
+        found &= (1 << _MISS) - 1
+        return found
+    np.not_equal(found >> 32, state, out=begins)
+    return np.where(begins, root.take(codes), found & _LOW)
+
+
+def _sequential(codes: np.ndarray, table: np.ndarray, root: np.ndarray | None) -> int:
+    state, n, codes = START, 0, codes[codes != PAD].tolist()
+    if root is None:
+        for c in codes:
+            state = table.item(state + c)
+            if state >> _MISS:
+                n, state = n + 1, state & (1 << _MISS) - 1
+        return n
+    for c in codes:
+        v = table.item(state + c)
+        if v >> 32 == state:
+            state = v & 0xFFFFFFFF
+        else:
+            n, state = n + 1, root.item(c)
+    return n
 
 
 def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", by: str = "doc_id") -> Model:
-    """Learns from the labelled rows of docs: in each of SLOTS slots of a language, the row of the smallest hash."""
-    h, slot = F.xxhash64(F.col(by)), F.pmod(F.xxhash64(F.col(by), F.lit(7)), F.lit(SLOTS))
-    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("l"), h.alias("h"), slot.alias("s"), F.col(text).alias("t"))
-    picked = known.where(F.length("t") > 0).groupBy("l", "s").agg(F.min("h").alias("h")).collect()
+    """Learns from the labelled rows of docs, within the bounds of this module."""
+    spark = docs.sparkSession
+    h = F.xxhash64(F.col(by))
+    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("l"), h.alias("h"), F.col(text).alias("t")).where(F.length("t") > 0)
+    least = stored(known.groupBy("l", F.pmod(F.xxhash64("h", F.lit(7)), F.lit(SLOTS)).alias("s")).agg(F.min("h").alias("h")), "slots")
+    langs = least.select("l").distinct().count()
+    slots = max(1, min(SLOTS, SAMPLED // max(1, langs)))
+    picked = least.groupBy("l", F.pmod("s", F.lit(slots))).agg(F.min("h").alias("h")).select("l", "h").collect()  # SAMPLED rows, or one a language
+    dropped(least)
     if not picked:
         return train({})
-    if len(picked) > SLOTS * 1000:
-        raise ValueError("more than 1000 languages are labelled: the sample of all would be too large for one process")
-    hashes = [r["h"] for r in picked]
-    rows = known.where(F.col("h").isin(hashes)).select("l", "h", F.substring("t", 1, DOC_CHARS).alias("t")).distinct().orderBy("l", "h", "t").collect()
+    most = max(1, min(CHARS, SYMBOLS // langs))
+    held: dict[str, int] = {}
+    for r in picked:
+        held[r["l"]] = held.get(r["l"], 0) + 1
+    # up to four even shares of each, as some are shorter than theirs
+    plan = spark.createDataFrame([(r["l"], r["h"], 4 * -(-most // held[r["l"]])) for r in picked], "l string, h long, w int")
+    begin = F.pmod(F.xxhash64("h", F.lit(13)), F.greatest(F.lit(1), F.length("t") - F.col("w") + 1)).cast("int") + 1
+    rows = known.join(F.broadcast(plan), ["l", "h"]).select("l", "h", F.substring(F.col("t"), begin, F.col("w")).alias("t")).distinct().collect()
     samples: dict[str, list[str]] = {}
-    for r in rows:
+    for r in sorted(rows, key=lambda r: (r["l"], r["h"], r["t"])):
         samples.setdefault(r["l"], []).append(r["t"])
-    return train({k: "\n".join(v)[:CHARS] for k, v in samples.items()})
+    return train({k: "\n".join(shares(v, most)) for k, v in samples.items()})
+
+
+def shares(texts: list[str], most: int) -> list[str]:
+    """The texts' beginnings, as equal in length as they can be with most code points in all, and a separator each."""
+    left, out = most, {}
+    for n, i in enumerate(sorted(range(len(texts)), key=lambda i: len(texts[i]))):
+        out[i] = texts[i][: max(0, left // (len(texts) - n) - 1)]
+        left -= len(out[i]) + 1
+    return [out[i] for i in range(len(texts))]
 
 
 def identify(docs: DataFrame, model: Model, *, text: str = "text", by: str = "doc_id") -> DataFrame:

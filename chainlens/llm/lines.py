@@ -7,12 +7,15 @@ One pass hashes the keys of each document (128 bits) and counts documents and th
 before the shuffle, so that a line in every document is no hot key. The keys that reach min_docs go to shards by hash; a
 shard becomes one row: a minimal perfect hash (levels of bit arrays) and, at each key's index, a 64-bit fingerprint, the
 count and the largest id. Documents then probe these arrays for the hashes of their lines; lines themselves never move.
-The arrays (about 21 bytes a repeated line) are broadcast if their measured size is INDEX_BYTES at most; beyond it, hashes
-of lines are joined with the keys by shuffle, and only what is found goes back to the documents.
+The arrays (about 21 bytes a repeated line) are broadcast if their measured size is INDEX_BYTES at most. Beyond it each
+shard is one row that stays where it is, and the hashes of the documents' lines are dealt to shards in packed rows: a task
+reads a shard's arrays, then probes them for the rows dealt to it, one shard in memory at a time. A shard that many lines
+ask for has PARTS such tasks. Only the hashes found go back to their documents, by id and a hash of the text.
 
 Defined cases: a text that is null or empty is one empty line; a line of white space has an empty key; each row counts as
 a document, so rows sharing an id count each, and all rows of the largest id keep the line; rows whose id is null count,
-and lose the lines; other columns stay as they are.
+and lose the lines; an empty table stays empty; other columns stay as they are, and where one has the name of a result,
+the result's name gets underscores at its end.
 """
 
 from __future__ import annotations
@@ -27,9 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, dropped, give_back, mix, pieces, stored
+from .common import column, dropped, free_name, give_back, mix, pieces, stored
 
-MIN_CHARS, MIN_DOCS, SHARD_KEYS, INDEX_BYTES = 40, 5, 200_000, 64 << 20
+MIN_CHARS, MIN_DOCS, SHARD_KEYS, INDEX_BYTES, PARTS = 40, 5, 200_000, 64 << 20, 8
 _SPACE = b" \t\n\x0b\x0c\r"
 _NONE = np.iinfo(np.int64).min
 
@@ -157,32 +160,90 @@ class Index:
         return n, last
 
 
-def _cut(docs: DataFrame, drops, min_chars: int, text: str, by: str, out: str) -> DataFrame:
-    """docs with text cut and two counts; drops(part, digests of each row) tells for each row which lines go."""
-    schema = T.StructType([f for f in docs.schema.fields if f.name not in (f"{out}lines", f"{out}dropped")] + [T.StructField(f"{out}lines", T.LongType()), T.StructField(f"{out}dropped", T.LongType())])
-    names = [f.name for f in schema.fields[:-2]]
+def _cut(docs: DataFrame, drops, min_chars: int, text: str, lines: str, cut: str) -> DataFrame:
+    """docs with text cut and two counts of these names; drops(part, digests of each row) tells for each row which lines go."""
+    schema = T.StructType([*docs.schema.fields, T.StructField(lines, T.LongType()), T.StructField(cut, T.LongType())])
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch):
                 split = [keys_of(t, min_chars) for t in column(part, text).to_pylist()]
                 gone = drops(part, [d for _, d in split])
-                kept, n, cut = [], [], []
-                for (lines, _), g in zip(split, gone, strict=True):
-                    n.append(len(lines))
+                kept, n, lost = [], [], []
+                for (own, _), g in zip(split, gone, strict=True):
+                    n.append(len(own))
                     k = sum(g) if g is not None else 0
-                    cut.append(k)
-                    kept.append((b"\n".join(compress(lines, [not x for x in g])) if k else b"\n".join(lines)).decode("utf-8", "surrogatepass"))
+                    lost.append(k)
+                    kept.append((b"\n".join(compress(own, [not x for x in g])) if k else b"\n".join(own)).decode("utf-8", "surrogatepass"))
                 cols = [pa.array(kept, pa.string()) if c == text else column(part, c) for c in names]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(cut, pa.int64())], [*names, f"{out}lines", f"{out}dropped"])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(lost, pa.int64())], [*names, lines, cut])
         give_back()
 
     return docs.mapInArrow(run, schema)
 
 
+def _asked(docs: DataFrame, min_chars: int, shards: int, text: str, by: str) -> DataFrame:
+    """(shard, part, digests, ids, marks): the long keys of each slice of docs, by shard, with their documents' ids and texts' hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch):
+                ids, marks, found = [], [], []
+                for i, m, t in zip(column(piece, "i").to_pylist(), column(piece, "m").to_pylist(), column(piece, "t").to_pylist(), strict=True):
+                    own = set(keys_of(t, min_chars)[1])
+                    own.discard(b"")
+                    found.extend(own)
+                    ids.extend([_NONE if i is None else i] * len(own))
+                    marks.extend([m] * len(own))
+                both = np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
+                ids, marks, shard = np.array(ids, np.int64), np.array(marks, np.int64), both[:, 0] % shards
+                order = np.argsort(shard, kind="stable")
+                cuts = np.flatnonzero(np.diff(shard[order], prepend=-1))
+                rows = [order[a:b] for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True)]
+                cols = [pa.array([int(shard[r[0]]) for r in rows], pa.int32()), pa.array([int(marks[r[0]]) % PARTS for r in rows], pa.int32()), *(pa.array([x[r].tobytes() for r in rows], pa.binary()) for x in (both, ids, marks))]
+                yield pa.RecordBatch.from_arrays(cols, ["shard", "part", "digests", "ids", "marks"])
+        give_back()
+
+    return docs.select(F.col(by).cast("long").alias("i"), _mark(text).alias("m"), F.col(text).alias("t")).mapInArrow(run, "shard int, part int, digests binary, ids binary, marks binary")
+
+
+def _mark(text: str):
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def _lost(docs: DataFrame, index: DataFrame, min_chars: int, shards: int, text: str, by: str) -> DataFrame:
+    """(id, mark, h, f): the digests of the lines that the row of docs with this id and text loses, by probing the shards where they are."""
+    asked = _asked(docs, min_chars, shards, text, by)
+    arrays = ("sizes", "bits", "marks", "counts", "lasts")
+    none = lambda like, names: [F.lit(None).cast(like.schema[n].dataType).alias(n) for n in names]
+    at = index.select("shard", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"), F.lit(0).alias("kind"), F.struct(*arrays).alias("index"), F.lit(None).cast("binary").alias("digests"), F.lit(None).cast("binary").alias("ids"), F.lit(None).cast("binary").alias("texts"))
+    ask = asked.select("shard", "part", F.lit(1).alias("kind"), *none(at, ["index"]), "digests", "ids", F.col("marks").alias("texts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Index | None = None
+        for batch in batches:
+            for r in range(batch.num_rows):
+                get = lambda c: column(batch, c)[r].as_py()  # noqa: B023, E731
+                if get("kind") == 0:
+                    x = get("index")
+                    held = Index([(get("shard"), *(x[n] for n in arrays))], shards)
+                    continue
+                if held is None or get("shard") not in held.parts:
+                    continue
+                both, ids, texts = np.frombuffer(get("digests"), np.int64).reshape(-1, 2), np.frombuffer(get("ids"), np.int64), np.frombuffer(get("texts"), np.int64)
+                n, last = held.probe(both[:, 0].copy(), both[:, 1].copy())
+                hit = (n > 0) & ((last != ids) | (ids == _NONE))
+                yield pa.RecordBatch.from_arrays([pa.array(x[hit]) for x in (ids, texts, both[:, 0], both[:, 1])], ["id", "mark", "h", "f"])
+        give_back()
+
+    return at.unionByName(ask).repartition("shard", "part").sortWithinPartitions("shard", "part", "kind").mapInArrow(run, "id long, mark long, h long, f long").distinct()
+
+
 def deduplicated(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, index_bytes: int = INDEX_BYTES, text: str = "text", by: str = "doc_id", out: str = "n_") -> DataFrame:
     """docs with the repeated lines cut from text (null becomes empty), and two more columns: lines before, and lines dropped."""
     spark = docs.sparkSession
+    names = [free_name(f"{out}{x}", docs.columns) for x in ("lines", "dropped")]
     counts = stored(line_counts(docs, min_chars=min_chars, min_docs=min_docs, text=text, by=by), "lines")
     keys = counts.count()
     shards = max(1, -(-keys // SHARD_KEYS))
@@ -206,12 +267,13 @@ def deduplicated(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: int =
             any_ = np.add.reduceat(go, ends - sizes) if len(ends) else []
             return [go[e - s : e].tolist() if a else None for a, s, e in zip(any_, sizes, ends, strict=True)]
 
-        return _cut(docs, drops, min_chars, text, by, out)
-    # beyond the bound: hashes meet by shuffle, and each id gets the list of those that it loses
-    hits = _hashed(docs, min_chars, text, by).join(counts, ["h", "f"]).where((F.col("id") != F.col("last")) | (F.col("id") == F.lit(_NONE)))
-    lost = hits.groupBy("id").agg(F.collect_set(F.struct("h", "f")).alias("lost"))
-    name = "__lost"
-    wide = docs.join(lost.select(F.col("id").alias("__id"), F.col("lost").alias(name)), F.coalesce(F.col(by).cast("long"), F.lit(_NONE)) == F.col("__id"), "left").drop("__id")
+        return _cut(docs, drops, min_chars, text, *names)
+    index = stored(build_index(counts, shards), "index")
+    dropped(counts)
+    # rows of one id and one text lose the same lines, no more than one text has
+    lost = _lost(docs, index, min_chars, shards, text, by).groupBy("id", "mark").agg(F.collect_list(F.struct("h", "f")).alias("lost"))
+    name, own_id, own_mark = (free_name(x, docs.columns) for x in ("lost", "lost_id", "lost_mark"))
+    wide = docs.join(lost.select(F.col("id").alias(own_id), F.col("mark").alias(own_mark), F.col("lost").alias(name)), (F.coalesce(F.col(by).cast("long"), F.lit(_NONE)) == F.col(own_id)) & (_mark(text) == F.col(own_mark)), "left").drop(own_id, own_mark)
 
     def listed(part: pa.RecordBatch, digests: list[list[bytes]]) -> list[list[bool] | None]:
         result = []
@@ -220,4 +282,4 @@ def deduplicated(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: int =
             result.append([x in gone for x in d] if gone else None)
         return result
 
-    return _cut(wide, listed, min_chars, text, by, out).drop(name)
+    return _cut(wide, listed, min_chars, text, *names).drop(name)

@@ -26,10 +26,15 @@ def _crc(c: str, n: int) -> Column:
     return F.crc32(F.col(c).cast("string").cast("binary")) % n
 
 
+def _is(c: Column) -> Column:
+    """c, false where it is null: a row without an id is not held out, and not learned from either."""
+    return F.coalesce(c, F.lit(False))
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.fit(docs.where(_crc("doc_id", 4) != 2))
-    return langid.identify(docs, model).select("doc_id", (_crc("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+    return langid.identify(docs, model).select("doc_id", _is(_crc("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +72,7 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
     model = toxicity.learn(docs, labels.where(_crc("doc_id", 5) != 0))
-    return toxicity.scored(docs, model).select("doc_id", (_crc("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+    return toxicity.scored(docs, model).select("doc_id", _is(_crc("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,24 +37,40 @@ def test_langid(spark, odd, frame):
     assert langid.Parser(langid.train({})).predict(["x"]) == (["und"], [0.0])
 
 
-def test_phrases_are_longest_matches():
-    sample = "abracadabra, the raven"
-    parser = langid.Parser(langid.train({"l": sample}))
-    text = "abrab raven qqq cadaven" * 3
-
-    def phrases(t):
-        n = 0
-        for at in range(0, len(t), langid.BLOCK):
-            block, i = t[at : at + langid.BLOCK], 0
-            while i < len(block):
-                k = 1
-                while i + k <= len(block) and block[i : i + k].replace(",", " ") in sample.replace(",", " "):
-                    k += 1
-                i += max(1, k - 1)
-                n += 1
-        return n
-
-    assert abs(int(parser.phrases([text])[0][0, 0]) - phrases(text)) <= 12  # letters that no sample has end a phrase of their own
+def longest_matches(sample, text):
+    """Phrases of the greedy parse, one match after the other."""
+    norm = lambda x: "".join(c if c.isalpha() else "_" for c in x.lower())
+    sample, text, at, n = norm(sample), norm(text), 0, 0
+    while at < len(text):
+        k = 1
+        while at + k <= len(text) and text[at : at + k] in sample:
+            k += 1
+        at, n = at + max(1, k - 1), n + 1
+    return n
+
+
+@pytest.mark.parametrize("cells", [langid.CELLS, 0])
+def test_phrases_are_longest_matches(cells, monkeypatch):
+    """Over blocks' ends too, in texts that repeat, with alphabets of thousands of letters, by both kinds of tables."""
+    monkeypatch.setattr(langid, "CELLS", cells)
+    rng = random.Random(11)
+    samples = {"a": "ab" * 300, "l": "abracadabra, the raven; " + LONG[:5000], "z": "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(4000))}
+    parser = langid.Parser(langid.train(samples))
+    texts = ["", "ab" * 900, "abrab raven qqq cadaven" * 60, LONG[3000:6000], samples["z"][100:900], "½ 1", "a" * 700, "abbab" * 300, "é𝔞" * 40]
+    assert parser.phrases(texts)[0].tolist() == [[longest_matches(samples[k], t) for k in sorted(samples)] for t in texts]
+    assert parser.predict(["½", samples["z"][700:800]])[0] == ["und", "z"]
+
+
+def test_languages_of_thousands_of_letters(spark, frame):
+    rng = random.Random(12)
+    han = lambda n: "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(n))
+    own = [han(600) for _ in range(20)]
+    rows = [(i, own[i]) for i in range(20)] + [(100 + i, " ".join(rng.choices(WORDS, k=100))) for i in range(20)]
+    model = langid.fit(frame(rows, lang={i: "zh" for i in range(20)}))
+    assert len(model.letters) > 2500
+    assert {r["lang_pred"] for r in langid.identify(frame([(1, x[200:300]) for x in own]), model).collect()} == {"zh"}
+    # the sample is dealt evenly to all documents, and isn't made of their beginnings
+    assert langid.shares(["a" * 10, "b" * 1000, "c" * 30], 100) == ["a" * 10, "b" * 57, "c" * 30]
 
 
 def test_fingerprints(spark, odd, frame):
@@ -88,11 +104,14 @@ def test_lines(spark, odd, frame, monkeypatch):
     rows = [(rng.randrange(12) if rng.random() < 0.9 else None, "\n".join(rng.choice([str.lower, str.upper, lambda s: f" \t{s}\r"])(rng.choice(pool)) if rng.random() < 0.8 else "own" for _ in range(rng.randrange(9)))) for _ in range(40)] + ROWS
     docs = frame(rows)
     want = sorted(map(repr, brute.lines(rows)))
-    for limit in (lines.INDEX_BYTES, 0):  # by the index, and by the shuffle
+    for limit in (lines.INDEX_BYTES, 0):  # arrays broadcast, and shards probed where they are
+        monkeypatch.setattr(lines, "SHARD_KEYS", 200_000 if limit else 3)
         out = lines.deduplicated(docs, index_bytes=limit, out="cut_")
         assert set(docs.columns) < set(out.columns)
         assert sorted(repr((r["doc_id"], r["cut_lines"], r["cut_dropped"], r["text"])) for r in out.collect()) == want
-    assert lines.deduplicated(docs.limit(0)).count() == 0
+        assert lines.deduplicated(docs.limit(0), index_bytes=limit).count() == 0
+    taken = lines.deduplicated(docs.withColumn("n_dropped", F.lit("own")))  # a caller's columns stay
+    assert {"n_lines", "n_dropped", "n_lines_", "n_dropped_"} <= set(taken.columns) and {r["n_dropped"] for r in taken.collect()} == {"own"}
 
 
 def test_perfect_hash():
