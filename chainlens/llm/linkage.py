@@ -3,31 +3,33 @@
 Equal texts are one class, and only a class's first document is sketched further. Texts that share a band key meet in a
 bucket. No bucket emits all its pairs: in each round every member is compared with one leader of its bucket, and only if
 the two are not in one component yet. A large group of near copies so costs a comparison or two a member. After ROUNDS
-rounds, the buckets that still hold several components are settled in place: a task gets a bucket, or two blocks of one,
-and emits only the links that join components there, so what is emitted is never more than the members. Nothing is capped,
-and no link between different texts that share a bucket is lost.
-
-Comparisons go from cheap to dear: sizes, then sketches (a likeness lower by MARGIN than the threshold can't be the
-threshold's, but for odds of about one in a million), then the shingles of the two texts.
+rounds, the buckets that still hold several components are settled in place, first by sketches alone: a task gets the
+sketches of a block of a bucket, or of two, and tells which members have a partner there that may be near. Only those
+members' texts move, and a task emits only the links that join components, so never more than its members. Nothing is
+capped: pairs that share a bucket are all looked at, but for those whose sketches rule them out.
+
+Comparisons go from cheap to dear: sizes, then sketches, then the shingles of the two texts. A pair is ruled out by its
+sketches if fewer entries agree than least_agreeing() says, which a pair at the threshold has with odds of ODDS at most.
+What is looked up by bucket is broadcast if small; else rows are dealt by bucket and one of SALTS salts, so that a
+bucket of any size is spread.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cache
+from math import exp, lgamma, log
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, dropped, give_back, mix, pieces, shingle_hashes, stored, texts_of
+from .common import column, dropped, give_back, mix, pieces, shingle_hashes, small, stored, texts_of
 
-ROUNDS, MARGIN = 2, 0.13
+ROUNDS, ODDS, SALTS = 2, 1e-9, 16
 #: Members and words of a block of a bucket that is settled in one task; larger buckets have several blocks, and a task for each two of them.
 BLOCK_ROWS, BLOCK_WORDS = 1024, 1_000_000
-#: A table of ids is broadcast up to this many; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
 
 #: texts -> band keys (uint64), sketch (uint8), size, each with one row a text
 Sketch = Callable[[list[str]], tuple[np.ndarray, np.ndarray, np.ndarray]]
@@ -44,9 +46,26 @@ def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
     return out
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """df, marked for broadcast if its rows, which were counted, are few."""
-    return F.broadcast(df) if rows <= BROADCAST_IDS else df
+@cache
+def least_agreeing(entries: int, threshold: float) -> int:
+    """The largest k so that fewer than k of a sketch's entries agree with odds of ODDS at most, if the likeness is the threshold."""
+    if not 0 < threshold < 1:
+        return 0 if threshold <= 0 else entries
+    below = 0.0
+    for k in range(entries + 1):
+        below += exp(lgamma(entries + 1) - lgamma(k + 1) - lgamma(entries - k + 1) + k * log(threshold) + (entries - k) * log(1 - threshold))
+        if below > ODDS:
+            return k
+    return entries
+
+
+def by_bucket(rows: DataFrame, found: DataFrame, n: int) -> DataFrame:
+    """rows (k, id, ...) with the columns of found, which has a row for each of n buckets k; others go."""
+    few = small(found, n)
+    if few is not found:
+        return rows.join(few, "k")
+    salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(SALTS)).cast("int")).join(salted, ["k", "salt"]).drop("salt")
 
 
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
@@ -73,24 +92,27 @@ def _sketched(docs: DataFrame, sketch: Sketch, text: str, by: str) -> DataFrame:
             for part in pieces(batch, 2 << 20):
                 texts = texts_of(part, "t")
                 keys, marks, size = sketch(texts)
-                digest = [xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in texts]
                 flat = pa.array(np.ascontiguousarray(keys).view(np.int64).ravel())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * keys.shape[1]), flat)
                 raw, step = np.ascontiguousarray(marks).tobytes(), marks.shape[1]
-                yield pa.RecordBatch.from_arrays([column(part, "i"), pa.array(digest, pa.binary()), lists, pa.array([raw[k * step : k * step + step] for k in range(len(texts))], pa.binary()), pa.array(size, pa.int64())], ["id", "digest", "keys", "marks", "size"])
+                yield pa.RecordBatch.from_arrays([column(part, "i"), column(part, "d"), lists, pa.array([raw[k * step : k * step + step] for k in range(len(texts))], pa.binary()), pa.array(size, pa.int64())], ["id", "digest", "keys", "marks", "size"])
         give_back()
 
-    return docs.select(F.col(by).cast("long").alias("i"), F.col(text).alias("t")).mapInArrow(run, "id long, digest binary, keys array<long>, marks binary, size long")
+    return docs.select(F.col(by).cast("long").alias("i"), _digest(text).alias("d"), F.col(text).alias("t")).mapInArrow(run, "id long, digest binary, keys array<long>, marks binary, size long")
+
+
+def _digest(text: str):
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
 
 
-def _alike(pairs: DataFrame, least: float) -> DataFrame:
-    """pairs (a, b, ma, mb) whose sketches agree in a share of least or more."""
+def _alike(pairs: DataFrame, threshold: float) -> DataFrame:
+    """pairs (a, b, ma, mb) that their sketches don't rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 ma, mb = (np.frombuffer(b"".join(column(batch, x).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for x in ("ma", "mb"))
-                yield batch.select(["a", "b"]).filter(pa.array((ma == mb).mean(1) >= least))
+                yield batch.select(["a", "b"]).filter(pa.array((ma == mb).sum(1) >= least_agreeing(ma.shape[1], threshold)))
 
     return pairs.mapInArrow(run, "a long, b long")
 
@@ -122,37 +144,41 @@ def groups(docs: DataFrame, sketch: Sketch, likeness: Callable[[np.ndarray, np.n
     """(by, class_id, group_id) of every row of docs that has an id: the least ids of the rows of equal text, and of the texts linked to it."""
     spark = docs.sparkSession
     slim = stored(_sketched(docs.where(F.col(by).isNotNull()), sketch, text, by), "sketches")
+    owners, times = docs.where(F.col(by).isNotNull()).select(F.col(by).cast("long").alias("id"), F.col(text).alias("t")), None
+    if not slim.groupBy("id").count().where("count > 1").isEmpty():
+        # rows that share an id are one document, with the text of the least digest: whatever task runs again finds the same
+        times = stored(slim.groupBy("id").agg(F.min("digest").alias("digest"), F.count("*").cast("int").alias("times")), "owners")
+        slim = stored(slim.join(times.drop("times"), ["id", "digest"]).dropDuplicates(["id"]), "sketches")
+        owners = owners.withColumn("digest", _digest("t")).join(times, ["id", "digest"]).select("id", "t").dropDuplicates(["id"])
     # any value of keys, marks and size will do, as equal texts have equal ones; only ids are compared
     classes = slim.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
     copies = stored(classes.where("n > 1").select("digest", "rep"), "copies")
     n_copies = copies.count()
-    labelled = slim.join(small(copies, n_copies), "digest", "left").select("id", "digest", F.coalesce("rep", "id").alias("rep"), "keys", "marks", "size")
+    labelled = slim.join(small(copies, n_copies), "digest", "left").select("id", F.coalesce("rep", "id").alias("rep"), "keys", "marks", "size")
     reps = labelled.where("id = rep").select("id", "keys", "marks", "size")
     keys = reps.where("size > 0").select("id", "size", F.explode("keys").alias("k"))
     # a bucket counts if two different ids meet in it; min and max tell, with partial sums before the shuffle
     met = stored(keys.groupBy("k").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("k"), "buckets")
-    members = stored(keys.join(small(met, met.count()), "k").select("k", "id", "size").distinct(), "members")
+    members = stored(by_bucket(keys, met, met.count()).select("k", "id", "size").distinct(), "members")
     dropped(met)
     ids = stored(members.select("id").distinct(), "ids")
     n_ids = ids.count()
     links = None
     if n_ids:
-        cand = stored(docs.where(F.col(by).isNotNull()).select(F.col(by).cast("long").alias("id"), F.col(text).alias("t")).join(small(ids, n_ids), "id").dropDuplicates(["id"]) if _repeated(slim) else docs.where(F.col(by).isNotNull()).select(F.col(by).cast("long").alias("id"), F.col(text).alias("t")).join(small(ids, n_ids), "id"), "texts")
-        marks = stored(reps.join(small(ids, n_ids), "id").select("id", "keys", "marks").dropDuplicates(["id"]), "marks")
+        cand = stored(owners.join(small(ids, n_ids), "id"), "texts")
+        marks = stored(reps.join(small(ids, n_ids), "id").select("id", "keys", "marks"), "marks")
         links = _links(spark, members, cand, marks, likeness, threshold, width)
         dropped(cand)
         dropped(marks)
+    out = labelled.select("id", "rep")
     if links is None:
-        out = labelled.select(F.col("id").alias(by), F.col("rep").alias("class_id"), F.col("rep").alias("group_id"))
+        out = out.withColumn("root", F.col("rep"))
     else:
         roots = components(spark, links)
-        out = labelled.join(small(roots.select(F.col("id").alias("rep"), "root"), roots.count()), "rep", "left").select(F.col("id").alias(by), F.col("rep").alias("class_id"), F.coalesce("root", "rep").alias("group_id"))
-    return out
-
-
-def _repeated(slim: DataFrame) -> bool:
-    """Whether an id occurs in two rows."""
-    return not slim.groupBy("id").count().where("count > 1").isEmpty()
+        out = out.join(small(roots.select(F.col("id").alias("rep"), "root"), roots.count()), "rep", "left").select("id", "rep", F.coalesce("root", "rep").alias("root"))
+    if times is not None:
+        out = out.join(times.select("id", F.explode(F.sequence(F.lit(1), F.col("times")))), "id")
+    return out.select(F.col("id").alias(by), F.col("rep").alias("class_id"), F.col("root").alias("group_id"))
 
 
 def _links(spark: SparkSession, members: DataFrame, cand: DataFrame, marks: DataFrame, likeness, threshold: float, width: int) -> DataFrame | None:
@@ -161,13 +187,14 @@ def _links(spark: SparkSession, members: DataFrame, cand: DataFrame, marks: Data
     live, tested = members.withColumn("root", F.col("id")), None
     for round_ in range(ROUNDS):
         order = F.xxhash64("id", F.lit(round_)) if round_ else F.col("id")
-        lead = live.groupBy("k").agg(F.min(F.struct(order.alias("o"), "id", "size", "root")).alias("l")).select("k", F.col("l.id").alias("lid"), F.col("l.size").alias("lsize"), F.col("l.root").alias("lroot"))
-        met = live.join(lead, "k").where(F.col("root") != F.col("lroot")).where(F.least("size", "lsize") >= F.greatest("size", "lsize") * F.lit(threshold))
+        lead = stored(live.groupBy("k").agg(F.min(F.struct(order.alias("o"), "id", "size", "root")).alias("l")).select("k", F.col("l.id").alias("lid"), F.col("l.size").alias("lsize"), F.col("l.root").alias("lroot")), "leaders")
+        met = by_bucket(live, lead, lead.count()).where(F.col("root") != F.col("lroot")).where(F.least("size", "lsize") >= F.greatest("size", "lsize") * F.lit(threshold))
         pairs = met.select(F.least("id", "lid").alias("a"), F.greatest("id", "lid").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         sketched = pairs.join(marks.select(F.col("id").alias("a"), F.col("marks").alias("ma")), "a").join(marks.select(F.col("id").alias("b"), F.col("marks").alias("mb")), "b").select("a", "b", "ma", "mb")
-        like = stored(_alike(sketched, threshold - MARGIN), "alike")
+        like = stored(_alike(sketched, threshold), "alike")
+        dropped(lead)
         if not like.isEmpty():
             wide = like.join(cand.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b").join(cand.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").select("a", "b", "ta", "tb")
             done = stored(_verified(wide, likeness, threshold, width), "verified")
@@ -182,46 +209,72 @@ def _links(spark: SparkSession, members: DataFrame, cand: DataFrame, marks: Data
             now = now.join(small(roots, roots.count()), "id", "left").select("k", "id", "size", F.coalesce("root", "id").alias("root"))
         else:
             now = now.withColumn("root", F.col("id"))
-        split = now.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("k")
-        live = stored(now.join(split, "k"), "live")
-        if live.isEmpty():
+        split = stored(now.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"), F.sum("size").alias("words")).where("lo < hi").select("k", "n", "words"), "split")
+        n_split = split.count()
+        if not n_split:
             return links
-    last = stored(_settled(live, cand, marks, likeness, threshold, width), "settled")
+        live = stored(by_bucket(now, split.select("k"), n_split), "live")
+    last = stored(_settled(live, split, n_split, cand, marks, likeness, threshold, width), "settled")
     return last if links is None else links.union(last)
 
 
-def _settled(live: DataFrame, cand: DataFrame, marks: DataFrame, likeness, threshold: float, width: int) -> DataFrame:
-    """(a, b) links that join the components of each bucket as far as they can be joined.
+class _Block:
+    """A block of a bucket, or two blocks of one, with the pairs in it that sizes and sketches don't rule out.
 
-    A pair that shares several buckets is looked at in that of its first band only.
+    A pair that shares several buckets is looked at in that of its first band only; with two blocks, only pairs across count.
     """
-    shape = live.groupBy("k").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)), F.ceil(F.sum("size") / F.lit(BLOCK_WORDS)), F.lit(1)).cast("int").alias("blocks"))
-    own = live.join(shape, "k").withColumn("own", F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int"))
-    met = own.select("k", "id", "size", "root", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    met = met.select("k", "id", "size", "root", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    wide = met.join(marks, "id").join(cand, "id").select("k", "i", "j", "own", "id", "size", "root", "keys", "marks", "t")
 
-    def settle(group: pa.Table) -> pa.Table:
+    def __init__(self, group: pa.Table, threshold: float):
         k, i, j = (group[c][0].as_py() for c in ("k", "i", "j"))
         group = group.sort_by("id")
-        ids, size, own, root = (group[c].to_numpy() for c in ("id", "size", "own", "root"))
-        n = len(ids)
-        sketch = np.frombuffer(b"".join(group["marks"].to_pylist()), np.uint8).reshape(n, -1)
+        self.group, self.apart = group, i != j
+        self.ids, self.size, self.own, self.root = (group[c].to_numpy() for c in ("id", "size", "own", "root"))
+        n = len(self.ids)
+        self.sketch = np.frombuffer(b"".join(group["marks"].to_pylist()), np.uint8).reshape(n, -1)
         keys = group["keys"].combine_chunks().flatten().to_numpy().reshape(n, -1)
-        band = int(np.flatnonzero(keys[0] == k)[0])
-        keys = keys[:, :band]
-        found: list[tuple[float, int, int]] = []
-        for x in range(n):
-            near = (root != root[x]) & (np.minimum(size, size[x]) >= threshold * np.maximum(size, size[x])) & ((own != own[x]) if i != j else True)
-            near[: x + 1] = False
-            if band:
-                near &= ~(keys == keys[x]).any(1)
-            at = np.flatnonzero(near)
+        self.keys = keys[:, : int(np.flatnonzero(keys[0] == k)[0])]
+        self.threshold, self.least = threshold, least_agreeing(self.sketch.shape[1], threshold)
+
+    def partners(self, x: int) -> tuple[np.ndarray, np.ndarray]:
+        """The members after x that may be near x, and how many entries of their sketches agree."""
+        near = (self.root != self.root[x]) & (np.minimum(self.size, self.size[x]) >= self.threshold * np.maximum(self.size, self.size[x]))
+        if self.apart:
+            near &= self.own != self.own[x]
+        near[: x + 1] = False
+        at = np.flatnonzero(near)
+        if len(at) and self.keys.shape[1]:
+            at = at[~(self.keys[at] == self.keys[x]).any(1)]
+        agree = (self.sketch[at] == self.sketch[x]).sum(1)
+        return at[agree >= self.least], agree[agree >= self.least]
+
+
+def _settled(live: DataFrame, split: DataFrame, n_split: int, cand: DataFrame, marks: DataFrame, likeness, threshold: float, width: int) -> DataFrame:
+    """(a, b) links that join the components of each bucket as far as they can be joined."""
+    shape = split.select("k", F.greatest(F.ceil(F.col("n") / F.lit(BLOCK_ROWS)), F.ceil(F.col("words") / F.lit(BLOCK_WORDS)), F.lit(1)).cast("int").alias("blocks"))
+    own = by_bucket(live, shape, n_split).withColumn("own", F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int"))
+    met = own.select("k", "id", "size", "root", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    met = met.select("k", "id", "size", "root", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    sketched = met.join(marks, "id").select("k", "i", "j", "own", "id", "size", "root", "keys", "marks")
+
+    def asks(group: pa.Table) -> pa.Table:
+        block = _Block(group, threshold)
+        asked = np.zeros(len(block.ids), bool)
+        for x in range(len(block.ids)):
+            at, _ = block.partners(x)
             if len(at):
-                like = (sketch[at] == sketch[x]).mean(1)
-                found += [(-e, x, y) for e, y in zip(like.tolist(), at.tolist(), strict=True) if e >= threshold - MARGIN]
+                asked[x] = asked[at] = True
+        return block.group.filter(pa.array(asked)).select(["k", "i", "j", "own", "id", "size", "root"])
+
+    asked = stored(sketched.groupBy("k", "i", "j").applyInArrow(asks, "k long, i int, j int, own int, id long, size long, root long"), "asked")
+    wide = asked.join(marks, "id").join(cand, "id").select("k", "i", "j", "own", "id", "size", "root", "keys", "marks", "t")
+
+    def settle(group: pa.Table) -> pa.Table:
+        block = _Block(group, threshold)
+        found = []
+        for x in range(len(block.ids)):
+            found += [(-e, x, y) for y, e in zip(*(z.tolist() for z in block.partners(x)), strict=True)]
         found.sort()
-        up = {r: r for r in root.tolist()}
+        up = {r: r for r in block.root.tolist()}
 
         def top(r: int) -> int:
             while up[r] != r:
@@ -229,18 +282,17 @@ def _settled(live: DataFrame, cand: DataFrame, marks: DataFrame, likeness, thres
                 r = up[r]
             return r
 
-        texts, cut = group["t"], {}
-        a, b = [], []
+        texts, cut, a, b = block.group["t"], {}, [], []
         for _, x, y in found:
-            rx, ry = top(int(root[x])), top(int(root[y]))
+            rx, ry = top(int(block.root[x])), top(int(block.root[y]))
             if rx != ry:
                 for z in (x, y):
                     if z not in cut:
                         cut[z] = shingle_hashes([texts[z].as_py() or ""], width)[0]
                 if likeness(cut[x], cut[y]) >= threshold:
                     up[max(rx, ry)] = min(rx, ry)
-                    a.append(ids[x])
-                    b.append(ids[y])
+                    a.append(block.ids[x])
+                    b.append(block.ids[y])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return wide.groupBy("k", "i", "j").applyInArrow(settle, "a long, b long")

@@ -1,5 +1,6 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing names."""
 
+import math
 import random
 
 import numpy as np
@@ -149,8 +150,40 @@ def test_dedup_keeps_one_of_each_group(spark, odd, frame):
     out = near_dedup.deduplicated(odd)
     assert same_columns(out, odd)
     got = out.collect()
-    # null ids stay, as do texts that differ in white space alone; rows sharing an id are one document
-    assert sorted((r["doc_id"] or -1) for r in got) == [-1, 1, 3, 4, 6, 8, 9]
+    # null ids stay, as do texts that differ in white space alone; rows sharing an id are one document, of the least digest
+    assert sorted((r["doc_id"] or -1) for r in got) == [-1, 1, 3, 4, 5, 6, 8, 9] and {r["doc_id"]: r["text"] for r in got}[4] == "again four"
+
+
+def test_sketches_rule_out_with_stated_odds():
+    for n, p in ((180, 0.8), (128, 0.8), (128, 0.5)):
+        chance = lambda k: sum(math.comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(k))  # noqa: B023, E731
+        k = linkage.least_agreeing(n, p)
+        assert chance(k) <= linkage.ODDS < chance(k + 1)
+
+
+def test_planted_pairs_are_found(spark, frame):
+    """Pairs whose likeness is 0.8 or little more: 0.99 of them at least."""
+    rng = random.Random(13)
+    rows, pairs = [], []
+    for i in range(600):
+        w = [f"p{i}q{k}" for k in range(300)]
+        n = rng.randrange(28, 34)  # words replaced at one end: 28 to 33 of 296 shingles less on either side
+        near = w[:-n] + [f"r{i}s{k}" for k in range(n)]
+        if brute.likeness(brute.bag(" ".join(w)), brute.bag(" ".join(near))) >= 0.8:
+            pairs.append((2 * i, 2 * i + 1))
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(near))]
+    got = {r["doc_id"]: r["group_id"] for r in near_dedup.near_groups(frame(rows)).collect()}
+    assert len(pairs) > 400 and sum(got[a] == got[b] for a, b in pairs) >= 0.99 * len(pairs)
+    assert all(got[2 * i] != got[2 * i + 1] for i in range(600) if (2 * i, 2 * i + 1) not in pairs)
+
+
+def test_buckets_are_joined_with_salts(spark, frame, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    base = [f"b{k}" for k in range(80)]
+    rows = [(i, " ".join([*base[: i % 7], "new", *base[i % 7 + 1 :]])) for i in range(60)] + [(100, "other text"), (100, "other text"), (101, "a b c"), (101, "other text")]
+    found = near_dedup.near_groups(frame(rows)).collect()
+    got = {r["doc_id"]: r["group_id"] for r in found}
+    assert len(found) == len(rows) and {got[i] for i in range(60)} == {0} and got[100] == 100 and got[101] in (100, 101)
 
 
 def test_bag_signatures_are_unbiased():
