@@ -72,6 +72,15 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows * width <= BROADCAST_BYTES else df
 
 
+def measured(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast if its measured bytes are few; for tables whose columns may be of any width."""
+    wide = [f.name for f in df.schema.fields if f.dataType.typeName() in ("binary", "string")]
+    size = F.lit(8 * len(df.columns)).cast("long")
+    for c in wide:
+        size += F.coalesce(F.octet_length(c), F.lit(0))
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES else df
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes the table of stored()."""
     if path := getattr(df, "_chainlens_path", None):

@@ -23,8 +23,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, stored
-from .linkage import small
+from .common import dropped, measured, stored
 
 BUCKETS_HEX = 3  # hexadecimal digits: 4096 ranges of each leaf
 
@@ -80,12 +79,11 @@ def plan(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[str, Ma
     if total is None:
         total = (leaves.agg(F.sum("avail")).first()[0] or 0) * share[0] // share[1]
     given = stored(budgets(leaves, names, weights, total, max_epochs).select(*names, "avail", "alloc", F.when(F.col("avail") > 0, F.expr("alloc div avail")).otherwise(F.lit(0)).alias("whole")).withColumn("left", F.col("alloc") - F.col("avail") * F.col("whole")), "budgets")
-    n = given.count()
-    part = slim.join(small(given.where("left > 0").select(*names, "whole", "left"), n), names).withColumn("o", order_key(seed, F.col("whole"), F.col("id"))).withColumn("b", F.substring("o", 1, BUCKETS_HEX))
+    part = slim.join(measured(given.where("left > 0").select(*names, "whole", "left")), names).withColumn("o", order_key(seed, F.col("whole"), F.col("id"))).withColumn("b", F.substring("o", 1, BUCKETS_HEX))
     sums = part.groupBy(*names, "b", "left").agg(F.sum("tokens").alias("t"))
     run = Window.partitionBy(*names).orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
     ends = stored(sums.withColumn("upto", F.sum("t").over(run)).where(F.col("upto") > F.col("left")).groupBy(*names).agg(F.min(F.struct("b", (F.col("upto") - F.col("t")).alias("before"))).alias("e")).select(*names, F.col("e.b").alias("eb"), F.col("e.before").alias("before")), "ends")
-    last = part.join(small(ends, n), names).where(F.col("b") == F.col("eb"))
+    last = part.join(measured(ends), names).where(F.col("b") == F.col("eb"))
     within = F.sum("tokens").over(Window.partitionBy(*names, "b").orderBy("o"))  # rows of equal o count together
     fit = last.withColumn("upto", F.col("before") + within).where(F.col("upto") <= F.col("left")).groupBy(*names).agg(F.max("o").alias("fit"))
     cut = ends.join(fit, names, "left").select(*names, F.coalesce("fit", "eb").alias("cut"))
@@ -105,7 +103,7 @@ def chosen(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[str,
     """(by, levels, tokens, alloc, epoch): a row for each document and epoch that it is chosen in."""
     slim, leaves = plan(docs, levels, weights, seed=seed, by=by, **options)
     names = [f"l{i}" for i in range(len(levels))]
-    met = slim.join(small(leaves, leaves.count()), names)
+    met = slim.join(measured(leaves), names)
     return met.select(F.col("id").alias(by), *[F.col(n).alias(level) for n, level in zip(names, levels, strict=True)], "tokens", "alloc", F.explode(_epochs(seed, F.col("id"))).alias("epoch"))
 
 
@@ -115,5 +113,5 @@ def mixed(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[str, M
     dropped(slim)
     names, columns = [f"l{i}" for i in range(len(levels))], docs.columns
     keyed = docs.select(F.struct("*").alias("row"), F.col(by).alias("id"), *[F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in zip(names, levels.values(), strict=True)])
-    met = keyed.join(small(leaves, leaves.count()), names)
+    met = keyed.join(measured(leaves), names)
     return met.select("row", F.explode(_epochs(seed, F.col("id")))).select(*[F.col("row").getField(c).alias(c) for c in columns])

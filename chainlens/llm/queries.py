@@ -72,7 +72,7 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
     model = toxicity.learn(docs, labels.where(_crc("doc_id", 5) != 0))
-    return toxicity.scored(docs, model).select("doc_id", _is(_crc("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+    return toxicity.scored(docs, model, spans=True).select("doc_id", _is(_crc("doc_id", 5) == 0).alias("held_out"), "score", "predicted", "spans")
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

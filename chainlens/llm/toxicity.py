@@ -3,11 +3,12 @@
 Labels are of documents, so the tokens' labels are derived first, from a bounded sample of labelled rows: a word or a
 word's beginning is marked if it occurs in so many of the toxic documents, and so few others, that chance can't explain it
 (binomial tail, times the number of candidates); then again among the toxic documents that no mark explains yet. What a
-text has twice or three times is a candidate of its own, as a beginning may be chance once, and not when repeated. A token
+text has twice or three times within REGION tokens is a candidate of its own, as a beginning may be chance once, and not when
+repeated; regions are the same in learning and scoring, so that a long text has no more repeats than a short one. A token
 is labelled toxic if it is in a toxic document and has a mark. A CRF of two states (toxic, other) with the marks as
 features and learned transitions is fitted to windows of the sample by gradient ascent of the conditional likelihood.
 
-Forward-backward gives each token's marginal. A document's score is its tokens' largest marginal, whatever its length; the
+Forward-backward gives each token's marginal. A document's score is its tokens' largest marginal, over all of the text; the
 offending offsets are the runs of tokens whose marginal is 0.5 or more.
 
 Bounds on what is learned from, at every size of the input: SAMPLE labelled documents by label (least hashes), CHARS code
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, texts_of
 
-SAMPLE, CHARS, WINDOWS, WINDOW, STEPS, PREFIXES, REPEATS, CHANCE = {1: 1_200, 0: 3_600}, 6_000, 2_400, 48, 60, (4, 5, 6, 7), (2, 3), 1e-3
+SAMPLE, CHARS, WINDOWS, WINDOW, STEPS, PREFIXES, REPEATS, REGION, CHANCE = {1: 1_200, 0: 3_600}, 6_000, 2_400, 48, 60, (4, 5, 6, 7), (2, 3), 1_000, 1e-3
 _TOKEN = re.compile(r"\w+")
 
 
@@ -51,11 +52,14 @@ def counted(found: Mapping[str, int]) -> Iterator[str]:
 
 
 def candidates(tokens: list[str]) -> set[str]:
-    found: dict[str, int] = defaultdict(int)
-    for t, n in Counter(tokens).items():
-        for f in features(t):
-            found[f] += n
-    return set(counted(found))
+    out: set[str] = set()
+    for at in range(0, len(tokens), REGION):
+        found: dict[str, int] = defaultdict(int)
+        for t, n in Counter(tokens[at : at + REGION]).items():
+            for f in features(t):
+                found[f] += n
+        out.update(counted(found))
+    return out
 
 
 def _tail(k: int, n: int, p: float) -> float:
@@ -220,9 +224,13 @@ class _Marks(dict):
         roots = list(map(self.__getitem__, tokens))
         if not any(roots):
             return [[]] * len(tokens)
-        found = Counter(f for own in roots for f in own)
-        marks = {f: [m for m in counted({f: n}) if m in self.marks] for f, n in found.items()}
-        return [[m for f in own for m in marks[f]] for own in roots]
+        out: list[list[str]] = []
+        for at in range(0, len(roots), REGION):
+            region = roots[at : at + REGION]
+            found = Counter(f for own in region for f in own)
+            marks = {f: [m for m in counted({f: n}) if m in self.marks] for f, n in found.items()}
+            out += [[m for f in own for m in marks[f]] for own in region]
+        return out
 
 
 class Tagger:
