@@ -306,13 +306,60 @@ def test_topk(spark):
     assert len(few) == 2
 
 
+@pytest.mark.parametrize("spread", [1, 5, 200, 1 << 29, 1 << 33])
+def test_lists_give_the_best(spread):
+    """Few dimensions and many, ties, repeated ids, floors, and components whose products pass a double's or a long's half."""
+    rng = np.random.default_rng(spread)
+    for dims, n in ((1, 300), (3, 800), (40, 300), (2, 3)):
+        v = rng.integers(-spread, spread + 1, (n, dims))
+        q = np.concatenate((v[:6], np.zeros((1, dims), np.int64)))[:n]
+        ids = rng.integers(0, n, n)
+        lists, own = topk.Lists(ids, v), ids[: len(q)]
+        floor = np.where(np.arange(len(q)) % 2 == 0, topk._NEVER, 0)
+        try:
+            got = topk.ranked(*lists.best(q, own, 5, floor)[:3], 5)
+        except ValueError:
+            assert spread == 1 << 33
+            continue
+        for x in range(len(q)):
+            want = sorted((-sum(int(a) * int(b) for a, b in zip(q[x], w, strict=True)), int(i)) for i, w in zip(ids, v, strict=True) if i != own[x])[:5]
+            have = [(-int(s), int(i)) for j, i, s in zip(*got, strict=True) if j == x]
+            assert have == [w for w in want if -w[0] >= floor[x]]
+
+
 def test_topk_stops_early():
     rng = np.random.default_rng(9)
     v = np.zeros((4000, 8), np.int64)
-    v[:, 0] = rng.permutation(4000)
+    v[:, 0], v[:, 1] = rng.permutation(4000), rng.permutation(4000)
     lists = topk.Lists(np.arange(4000), v)
-    ids, score, depth = lists.best(np.array([1, 0, 0, 0, 0, 0, 0, 0]), -1, 5)
-    assert list(score) == [3999, 3998, 3997, 3996, 3995] and depth < 100
+    q = np.array([[1, 0, 0, 0, 0, 0, 0, 0], [3, 0, 0, 0, 0, 0, 0, 0], [2, 1, 0, 0, 0, 0, 0, 0]])
+    query, ids, score, scored = lists.best(q, np.full(3, -1), 5, np.full(3, topk._NEVER))
+    query, ids, score = topk.ranked(query, ids, score, 5)
+    assert score[query == 0].tolist() == [3999, 3998, 3997, 3996, 3995] and scored < 2000
+    want = np.sort(v @ q[2])[::-1][:5]
+    assert score[query == 2].tolist() == want.tolist()
+
+
+def test_topk_in_many_blocks(spark, monkeypatch):
+    for name, n in (("BLOCK", 40), ("QUERY_BLOCK", 3), ("GROUP", 2)):
+        monkeypatch.setattr(topk, name, n)
+    rng = np.random.default_rng(10)
+    v = rng.integers(-60, 61, (500, 5))
+    v[100:300] = v[100]  # one vector many times
+    table = spark.createDataFrame([(i, [float(x) / 256 for x in r]) for i, r in enumerate(v.tolist())] + [(50, [0.1] * 5)] * 100, "vec_id long, embedding array<double>")
+    extra = [(50, (25, 25, 25, 25, 25))] * 100
+    rows = list(enumerate(map(tuple, v.tolist()))) + extra
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.search_every(table).collect()}
+    assert len(got) == 50
+    for q in range(0, 500, 50):
+        best = sorted({(-sum(a * b for a, b in zip(x, w, strict=True)), n, i) for j, x in rows if j == q for n, (i, w) in enumerate(rows) if i != q})
+        want, seen = [], set()
+        for s, n, i in best if q != 50 else []:
+            want.append((i, -s))
+        if q != 50:  # the repeated id's own best are those of all its rows
+            assert [got[q, r] for r in range(1, 6)] == sorted(want, key=lambda w: (-w[1], w[0]))[:5]
+    with pytest.raises(Exception, match="fit a long"):
+        topk.search_every(spark.createDataFrame([(0, [1e30]), (1, [1.0])], "vec_id long, embedding array<double>")).collect()
 
 
 def test_toxicity(spark, odd, frame):
