@@ -1,14 +1,21 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page becomes a row of text blocks (runs of text between block-level tags). A linear classifier gives each block a score
-from its ancestors' tags and class names, its length, punctuation and share of link text; a score above zero is the cost of
-calling the block boilerplate, one below zero the cost of calling it content: the capacities of its edges to the two
-terminals. Neighbouring blocks, and blocks that follow one another in the same parent, are joined by smoothness edges. The
-minimum cut labels all blocks at once. Blocks whose own score outweighs all their edges are settled first, which keeps the
-optimum; the max-flow is run on what is left.
+A page becomes a row of text blocks (runs of text between block-level tags). A linear classifier gives each block a score:
+the log odds that it is main text, from the tags and names (class, id, role) around it, its length, end and share of link
+text. It is learned, by penalised logistic regression, from the labelled blocks of html_blocks, a bounded set that is part
+of this package; names that the set doesn't have weigh nothing. A score above zero is the cost of calling the block
+boilerplate, one below zero the cost of calling it content: the capacities of its edges to the two terminals. Neighbouring
+blocks, and blocks that follow one another in the same parent, are joined by smoothness edges. The minimum cut labels all
+blocks at once. Blocks whose own score outweighs all their edges are settled first, which keeps the optimum; the max-flow
+is run on what is left.
+
+Dropped without a look are script, style, template, iframe, textarea and select elements and the like, whose content isn't
+text of the page. Character references are decoded in each run of text between tags, so markup never completes one.
 
 Defined cases: null is empty; a page without content blocks gives an empty text; a page may break off anywhere, in a tag or
-a comment too, and unclosed elements end with it; equal pages give equal texts; other columns are not read.
+a comment too, and unclosed elements end with it; where both labellings cost the same, a block is boilerplate; pages of any
+length are cut as a whole; equal pages give equal texts; rows without an id stay; an empty table gives no rows; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -16,19 +23,25 @@ from __future__ import annotations
 import html
 import re
 from collections import deque
+from collections.abc import Iterable
+from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches, texts_of
+from .html_blocks import LABELLED
 
 _BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe label legend li main menu nav noscript ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style textarea template noscript iframe object svg math canvas video audio select xmp noembed noframes".split())
+_RAW = frozenset("script style textarea template iframe select xmp noembed noframes".split())
 #: Elements that an opening tag of the key ends, if they are open up to the nearest of the walls.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _WALLS = frozenset("ul ol menu table dl div article section main aside nav header footer form body html".split())
+#: Inline tags, which say nothing about what is in them unless they have names.
+_PLAIN = frozenset("a b i u em strong span small big sub sup font code abbr cite q s del ins mark kbd samp var time tt br wbr".split())
 _P_ENDS = _BLOCKS - {"button", "label", "option", "optgroup", "legend", "caption"}
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)|<[!?][^>]*(?:>|\Z)|</[^>]*(?:>|\Z)", re.S)
 _SIMPLE = re.compile(r"\b(?:class|id|role|itemprop|aria-label|hidden|style)\b", re.I)
@@ -36,19 +49,76 @@ _NAMES = re.compile(r"""\b(class|id|role|itemprop|hidden|style)\b(?:\s*=\s*("[^"
 _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _END = re.compile(r"[.!?…。！？:;,»\"”)]$")
 
-#: Weights of tags and of words in class, id and role of a block and its ancestors.
-TAGS = {"article": 5.0, "main": 3.5, "h1": 1.0, "p": 0.8, "blockquote": 0.8, "pre": 0.5, "nav": -9.0, "footer": -9.0, "header": -5.0, "aside": -9.0, "form": -9.0, "menu": -9.0, "dialog": -9.0, "button": -9.0, "label": -6.0, "option": -9.0, "head": -30.0, "title": -30.0, "legend": -6.0, "search": -9.0, "address": -2.0}
-GOOD = dict.fromkeys("article articlebody content entry post story text body main prose".split(), 2.0)
-BAD = dict.fromkeys("ad ads adv advert adverts advertisement advertisements advertising banner sponsor sponsored promo promoted promotion cookie cookies consent gdpr notice notices alert nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside footer foot masthead topbar comment comments commentlist reply replies respond disqus discussion share sharing social related recommended recommendations newsletter subscribe subscription login signin signup register search popup modal overlay dialog widget copyright legal disclaimer pager pagination skip toolbar form complementary contentinfo navigation banner".split(), -9.0) | {"header": -5.0}
-BIAS, LINKED, SHORT, LONG, ENDED = -0.6, -3.0, -0.6, 1.2, 0.6
+#: Strength of the penalty on squared weights, and of the smoothness edges, in log odds.
+PENALTY, ROUNDS = 0.02, 30
 NEXT, SIBLING = 0.35, 0.6
 
 
+_Names = frozenset[str]
+
+
+def around(tag: str, names: Iterable[str], hidden: bool, outer: _Names) -> _Names:
+    """The features of what is in an element, given those of what is around it."""
+    found = {f"<{tag}>"}
+    inside = "<article>" in outer or "<main>" in outer
+    if tag in ("header", "footer") and inside:  # an article's own
+        found = {f"<{tag}> inside"}
+    elif tag == "h1" and "<header> inside" in outer:
+        found.add("<h1> of an article")
+    if hidden:
+        found.add("hidden")
+    for name in names:
+        words = [w.lower() for w in _WORDS.findall(name)]
+        if words:  # of a compound, the last word says what it is
+            found.add(words[-1])
+            found.update(f"{w}-" for w in words[:-1])
+    if tag in ("article", "main"):  # some servers put whole pages into a form
+        outer = outer - {"<form>"}
+    return outer | found
+
+
+def told(words: int, linked: float, ended: bool) -> list[tuple[str, float]]:
+    """The features of a block's own text."""
+    return [("bias", 1.0), ("linked", linked), ("long", float(words >= 15)), ("short", float(words < 5)), ("ended", float(ended))]
+
+
+def labelled() -> list[tuple[dict[str, float], int]]:
+    """The labelled blocks: features and label."""
+    rows = []
+    for line in LABELLED.split("\n"):
+        if line:
+            label, words, linked, ended, *path = line.split()
+            hidden = path[-1] == "hidden"
+            names: _Names = frozenset()
+            for k, x in enumerate(path[: len(path) - hidden]):
+                tag, *classes = re.split(r"[.#@]", x)
+                names = around(tag, classes, hidden and k == len(path) - 2, names)
+            rows.append((dict.fromkeys(names, 1.0) | dict(told(int(words), float(linked), ended == "y")), int(label)))
+    return rows
+
+
+@cache
+def weights() -> dict[str, float]:
+    """Learned from the labelled blocks, by Newton's method."""
+    rows = labelled()
+    number = {f: i for i, f in enumerate(sorted({f for x, _ in rows for f in x}))}
+    x, y = np.zeros((len(rows), len(number))), np.array([label for _, label in rows], float)
+    for r, (own, _) in enumerate(rows):
+        for f, v in own.items():
+            x[r, number[f]] = v
+    w = np.zeros(len(number))
+    for _ in range(ROUNDS):
+        p = 1 / (1 + np.exp(-x @ w))
+        w += np.linalg.solve((x.T * (p * (1 - p))) @ x + PENALTY * np.eye(len(w)), x.T @ (y - p) - PENALTY * w)
+    return {f: float(w[i]) for f, i in number.items()}
+
+
 def blocks(page: str) -> list[tuple[str, float, int, int]]:
     """(text, score of the ancestors, parent's number, characters of links) of each block that has text."""
     out: list[tuple[str, float, int, int]] = []
-    # open elements: tag, weight of it and all above, number, whether in a link
-    stack: list[tuple[str, float, int]] = [("", 0.0, 0)]
+    known = weights()
+    # open elements: tag, weight of it and all above, number, features
+    stack: list[tuple[str, float, int, _Names]] = [("", 0.0, 0, frozenset())]
     parts: list[str] = []
     numbers, linked, in_link = 1, 0, 0
     at, n = 0, len(page)
@@ -56,12 +126,12 @@ def blocks(page: str) -> list[tuple[str, float, int, int]]:
     def flush() -> None:
         nonlocal linked
         if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
+            text = " ".join("".join(parts).split())
             if text:
                 k = len(stack) - 1
                 while k and stack[k][0] not in _BLOCKS:
                     k -= 1
-                tag, weight, own = stack[k]
+                tag, weight, own, _ = stack[k]
                 parent = stack[k - 1][2] if k and tag in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "dd", "dt") else own
                 out.append((text, weight, parent, linked))
             parts.clear()
@@ -69,7 +139,7 @@ def blocks(page: str) -> list[tuple[str, float, int, int]]:
 
     def close(k: int) -> None:
         nonlocal in_link
-        for tag, _, _ in stack[k:]:
+        for tag, *_ in stack[k:]:
             in_link -= tag == "a"
         del stack[k:]
 
@@ -79,7 +149,7 @@ def blocks(page: str) -> list[tuple[str, float, int, int]]:
         m = match(page, lt) if lt >= 0 else None
         begin = m.start() if m else n
         if begin > at:
-            s = page[at:begin]
+            s = html.unescape(page[at:begin])
             parts.append(s)
             if in_link:
                 linked += len(s)
@@ -132,41 +202,31 @@ def blocks(page: str) -> list[tuple[str, float, int, int]]:
                         break
         if tag in _VOID:
             continue
-        weight = stack[-1][1] + _weight(tag, m[3], stack)
-        stack.append((tag, weight, numbers))
+        outer = stack[-1][3]
+        names = outer if tag in _PLAIN and not m[3] else _named(tag, m[3], outer)
+        stack.append((tag, stack[-1][1] if names is outer else sum(known.get(f, 0.0) for f in names), numbers, names))
         numbers += 1
         in_link += tag == "a"
     flush()
     return out
 
 
-def _weight(tag: str, attributes: str, stack: list[tuple[str, float, int]]) -> float:
-    w = TAGS.get(tag, 0.0)
-    if tag == "header" and any(t in ("article", "main") for t, _, _ in stack):
-        w = -2.0
-    elif tag == "h1" and any(t == "header" for t, _, _ in stack) and any(t in ("article", "main") for t, _, _ in stack):
-        w = 4.0
+def _named(tag: str, attributes: str, outer: _Names) -> _Names:
+    names: list[str] = []
+    hidden = False
     if attributes and tag not in ("html", "body", "a") and _SIMPLE.search(attributes):
-        least = most = 0.0
         for key, value in _NAMES.findall(attributes):
             key, value = key.lower(), value.strip("\"'")
-            if key == "hidden" or key == "style" and re.search(r"display\s*:\s*none", value):
-                least = min(least, -9.0)
-            elif key != "style":
-                for x in _WORDS.findall(value):
-                    x = x.lower()
-                    least, most = min(least, BAD.get(x, 0.0)), max(most, GOOD.get(x, 0.0))
-        w += least or most
-    return w
+            if key == "hidden" or key == "style":
+                hidden |= key == "hidden" or bool(re.search(r"display\s*:\s*none", value))
+            else:
+                names += value.split()
+    return around(tag, names, hidden, outer)
 
 
 def scores(found: list[tuple[str, float, int, int]]) -> list[float]:
-    out = []
-    for text, weight, _, linked in found:
-        words = text.count(" ") + 1
-        s = BIAS + weight + LINKED * min(1.0, linked / len(text)) + (LONG if words >= 15 else SHORT if words < 5 else 0.0)
-        out.append(s + ENDED if _END.search(text) else s)
-    return out
+    known = weights()
+    return [weight + sum(known[f] * v for f, v in told(text.count(" ") + 1, min(1.0, linked / len(text)), bool(_END.search(text)))) for text, weight, _, linked in found]
 
 
 def edges(found: list[tuple[str, float, int, int]]) -> list[tuple[int, int, float]]:
@@ -237,10 +297,14 @@ def _flow(nodes: list[int], own: list[float], near: list[list[tuple[int, float]]
             v = path[-1]
             if v == t:
                 push = min(cap[a][b] for a, b in zip(path, path[1:], strict=False))
-                for a, b in zip(path, path[1:], strict=False):
+                back = len(path)
+                for k in range(len(path) - 2, -1, -1):
+                    a, b = path[k], path[k + 1]
                     cap[a][b] -= push
                     cap[b][a] = cap[b].get(a, 0.0) + push
-                path = [s]
+                    if cap[a][b] <= tiny:
+                        back = k + 1
+                del path[back:]  # on from before the first edge that is full
                 continue
             while rest[v]:
                 u = rest[v][-1]
