@@ -7,7 +7,10 @@ and verifies the Jaccard similarity of what meets.
 
 Defined cases: null is empty; a text without words has the fingerprint of the empty set, which is like itself only; a
 text under five words is one shingle; repeated rows get equal fingerprints. In with_next(), rows are ordered by id, then
-text, so that rows sharing an id follow one another; one row alone is its own next one; other columns are not read.
+text, so that rows sharing an id follow one another; one row alone is its own next one. A row whose id is null has no place
+in that order: it is its own next one, and nobody else's. An empty table gives no rows; other columns are not read.
+
+with_next() keeps a table of cut points in every task: MOST_BUCKETS at most, of 20 bytes each.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import linkage
-from .common import give_back, map_batches, mix, shingle_hashes, texts_of
+from .common import give_back, map_batches, mix, pieces, shingle_hashes, texts_of
 
 PERMS, WIDTH, BANDS, THRESHOLD = 128, 5, 32, 0.8
 #: Rows of a bucket of with_next(), about; and the most buckets.
@@ -98,24 +101,28 @@ def with_next(docs: DataFrame, fn, schema: str, *, text: str = "text", by: str =
     """
     src = docs.select(F.col(by).cast("long").alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     # cut points of about BUCKET_ROWS rows each, by rank; a few longs for each bucket go to the driver
+    spark = docs.sparkSession
     rows = src.count()
     n = max(1, min(MOST_BUCKETS, rows // BUCKET_ROWS))
-    shares = [k / n for k in range(1, n)]
-    cuts = np.unique(np.array((src.agg(F.percentile_approx("i", shares, 20_000 if n < 10_000 else 4 * n)).first()[0] if shares and rows else None) or [], np.int64))
+    found = None
+    if n > 1:  # the shares are one literal in the plan
+        shares = F.split(F.lit(",".join(f"{k / n:.9f}" for k in range(1, n))), ",").cast("array<double>")
+        found = src.agg(F.percentile_approx("i", shares, 20_000 if n < 10_000 else 4 * n)).first()[0]
+    sent = spark.sparkContext.broadcast(np.unique(np.array(found or [], np.int64)))
 
     @F.pandas_udf("int")
     def bucket(i: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, i.to_numpy(np.int64), side="right").astype(np.int32))
+        return pd.Series(np.searchsorted(sent.value, i.to_numpy(np.int64), side="right").astype(np.int32))
 
     firsts = sorted((r["b"], r["i"]) for r in src.select("i").where(F.col("i").isNotNull()).groupBy(bucket("i").alias("b")).agg(F.min("i").alias("i")).collect())
     before = {i: firsts[k - 1][0] for k, (_, i) in enumerate(firsts)}
-    begins, prev = np.array(sorted(before), np.int64), np.array([before[i] for i in sorted(before)], np.int32)
+    turns = spark.sparkContext.broadcast((np.array(sorted(before), np.int64), np.array([before[i] for i in sorted(before)], np.int32)))
 
     @F.pandas_udf("array<int>")
     def places(i: pd.Series) -> pd.Series:
-        ids = i.to_numpy(np.int64)
+        ids, (begins, prev) = i.to_numpy(np.int64), turns.value
         at = np.minimum(np.searchsorted(begins, ids), len(begins) - 1)
-        own = np.searchsorted(cuts, ids, side="right")
+        own = np.searchsorted(sent.value, ids, side="right")
         return pd.Series([[o, p] if first else [o] for o, p, first in zip(own, prev[at], begins[at] == ids, strict=True)])
 
     dealt = src.where(F.col("i").isNotNull()).select("i", "t", F.posexplode(places("i")).alias("tail", "b")).repartition(-(-n // 8), "b").sortWithinPartitions("b", "tail", "i", "t")
@@ -155,7 +162,13 @@ def with_next(docs: DataFrame, fn, schema: str, *, text: str = "text", by: str =
             yield flush()
         give_back()
 
-    return dealt.mapInArrow(run, schema)
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch):
+                yield fn([None] * part.num_rows, texts_of(part, "t"), list(range(part.num_rows)))
+        give_back()
+
+    return dealt.mapInArrow(run, schema).unionByName(src.where(F.col("i").isNull()).mapInArrow(alone, schema))
 
 
 def edited(text: str, following: str) -> str:

@@ -81,8 +81,13 @@ def test_fingerprints(spark, odd, frame):
     for r in got:
         by.setdefault(r["doc_id"], []).append(r["fingerprint"])
     assert by[1] == by[2] == by[3] and by[4][0] in by[5] and len(set(by[6] + by[7])) == 2
-    report = fingerprints.edit_report(frame([(i, t) for i, t in ROWS if i is not None])).collect()
-    assert len(report) == len(ROWS) - 1
+    report = fingerprints.edit_report(odd).collect()
+    assert len(report) == len(ROWS)
+    none = [r for r in report if r["doc_id"] is None]  # its own next one, and nobody else's
+    assert [(r["n_chars"], r["near_next"], r["edited_sha256"]) for r in none] == [(5, 1.0, brute.sha("no in"))]
+    order = sorted([(i, t or "") for i, t in ROWS if i is not None])
+    want = {(i, brute.sha(fingerprints.edited(t, after))) for (i, t), (_, after) in zip(order, order[1:] + order[:1], strict=True)}
+    assert {(r["doc_id"], r["edited_sha256"]) for r in report if r["doc_id"] is not None} == want
     one = fingerprints.edit_report(frame([(3, "a b c d e f g h")])).collect()
     assert one[0]["near_next"] == 1.0 and one[0]["n_chars"] == 15
     assert fingerprints.edit_report(odd.limit(0)).count() == 0
