@@ -104,7 +104,7 @@ def test_op9_scores(spark):
     middle = sorted(n for _, _, n in held)[len(held) // 2]
     alarms = [np.mean([p for p, y, n in held if not y and (n > middle) == long]) for long in (False, True)]
     print("recall, precision, false alarms in short and long texts", recall, precision, *alarms)
-    assert recall > 0.85 and precision > 0.95 and max(alarms) < 0.02  # measured: 0.897, 0.989, and 0.000 and 0.003
+    assert recall > 0.85 and precision > 0.95 and max(alarms) < 0.02  # measured: 0.897, 0.989, 0.003 and 0.000
 
 
 def test_op10_shards(spark, data, documents):
