@@ -93,11 +93,15 @@ def fingerprint(c: Column) -> Column:
     return F.rpad(F.lower(F.substring(F.regexp_replace(c, "[^0-9A-Fa-f]", ""), 1, 16)), 16, "0")
 
 
-def syslog_line(facility: int, *, sequence: Column, timestamp_ns: Column, event_type: Column, source: Column, payload_hash: Column) -> Column:
+#: The application that syslog lines name unless told otherwise.
+APP = "chainlens"
+
+
+def syslog_line(facility: int, *, sequence: Column, timestamp_ns: Column, event_type: Column, source: Column, payload_hash: Column, app: str = APP) -> Column:
     kind, host = F.coalesce(event_type, F.lit("-")), F.coalesce(source, F.lit("-"))
     number = sequence.cast("string")
     # Fixed value: the line's form.
-    return F.concat(F.lit(f"<{facility * 8 + 6}>1 "), rfc3339(timestamp_ns), F.lit(" "), syslog_token(host), F.lit(" spine-wal "), number, F.lit(" "), syslog_token(kind), F.lit(' - msg="seq='), number, F.lit(" type="), syslog_escape(kind), F.lit(" hash="), F.substring(payload_hash, 1, 16), F.lit('"'))
+    return F.concat(F.lit(f"<{facility * 8 + 6}>1 "), rfc3339(timestamp_ns), F.lit(" "), syslog_token(host), F.lit(f" {app} "), number, F.lit(" "), syslog_token(kind), F.lit(' - msg="seq='), number, F.lit(" type="), syslog_escape(kind), F.lit(" hash="), F.substring(payload_hash, 1, 16), F.lit('"'))
 
 
 def csv_line(*, sequence: Column, timestamp_ns: Column, event_type: Column, source: Column, payload_hash: Column, prev_hash: Column, signed: Column, entry_hash: Column | None = None) -> Column:

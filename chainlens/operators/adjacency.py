@@ -1,7 +1,9 @@
 """Comparisons of rows with the row before, on tables: links, sequences, times; first failures, flags and ends.
 
-The order's range is cut into buckets by the values of its first key; rows are compared inside their bucket, and only the
-first row of a bucket is looked up in a table that has the last row of each. So there is no window over the whole table.
+The order's range is cut into buckets by the values of its first key: first at CUTS approximate quantiles at most, so that
+neither outliers nor values that cluster fill one bucket, then each range into equal widths. Rows are compared inside their
+bucket, and only the first row of a bucket is looked up in a table that has the last row of each. So there is no window
+over the whole table. A value of the first key is never split: rows that tie in it share a bucket.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ from . import splits
 
 #: Rows of a bucket, about.
 ROWS = 200_000
+#: Quantiles that ranges are cut at, at most.
+CUTS = 255
 
 
 def with_previous(table: DataFrame, order: Sequence[Column], columns: Sequence[str], rows: int = ROWS) -> DataFrame:
@@ -25,8 +29,11 @@ def with_previous(table: DataFrame, order: Sequence[Column], columns: Sequence[s
     key = order[0].cast("double")
     low, high, n = table.agg(F.min(key), F.max(key), F.count("*")).first()
     buckets = max(1, -(-n // rows))
-    width = ((high or 0) - (low or 0)) / buckets or 1.0
-    bucket = F.least(F.lit(buckets - 1), F.floor((key - F.lit(low or 0.0)) / F.lit(width))).cast("int")
+    bucket = F.lit(0)
+    if buckets > 1:
+        ranges = min(buckets, CUTS + 1)
+        cuts = table.agg(F.percentile_approx(key, [k / ranges for k in range(1, ranges)], 10_000)).first()[0]
+        bucket = _bucket(key, sorted({low, *cuts, high}), -(-buckets // ranges))
     names = [f"__o{i}" for i in range(len(order))]
     own = table.select("*", *[o.alias(x) for o, x in zip(order, names, strict=True)], F.coalesce(bucket, F.lit(0)).alias("__b"))
     inside = Window.partitionBy("__b").orderBy(*names)
@@ -41,6 +48,19 @@ def with_previous(table: DataFrame, order: Sequence[Column], columns: Sequence[s
     return out.select(*[F.col(c) for c in table.columns], *[F.col(f"__prev.{c}").alias(f"prev_{c}") for c in columns], F.col("__prev").isNotNull().alias("has_prev"))
 
 
+def _bucket(key: Column, cuts: list[float], parts: int) -> Column:
+    """The number of key's bucket: of the ranges between cuts, found by halving, each has parts of equal width."""
+
+    def at(i: int, j: int) -> Column:
+        if j - i <= 1:
+            width = (cuts[min(j, len(cuts) - 1)] - cuts[i]) / parts or 1.0
+            return F.lit(i * parts) + F.greatest(F.lit(0), F.least(F.lit(parts - 1), F.floor((key - F.lit(cuts[i])) / F.lit(width))))
+        k = (i + j) // 2
+        return F.when(key < F.lit(cuts[k]), at(i, k)).otherwise(at(k, j))
+
+    return at(0, max(1, len(cuts) - 1)).cast("int")
+
+
 def sequence_gaps(rows: DataFrame, sequence: str) -> DataFrame:
     """(sequence, expected, previous) of rows with has_prev and prev_<sequence> whose sequence isn't the next."""
     previous = F.col(f"prev_{sequence}")

@@ -7,6 +7,7 @@ are put together and renamed, after the manifest, so that no export stands witho
 
 from __future__ import annotations
 
+import contextlib
 import json
 import os
 import uuid
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import blake3, messages, record, text
+from ..functions.wire import VALUES
 from ..sources import segments
 from . import digest as dg
 from . import splits
@@ -27,7 +29,7 @@ from .records import Reader, records
 from .root import chain_root
 
 # Fixed value: marks a manifest among records.
-KIND = "spine_export_manifest"
+KIND = VALUES["export_manifest_kind"]
 FORMATS = ("jsonl", "csv", "syslog")
 FACILITY = 16
 
@@ -74,7 +76,7 @@ class _JsonLines(Reader):
         yield pa.RecordBatch.from_arrays(cols, ["name", "block", "line", "text"])
 
 
-def lines_of(scan: DataFrame, form: str, checks: Checks, proofs: bool, facility: int) -> DataFrame:
+def lines_of(scan: DataFrame, form: str, checks: Checks, proofs: bool, facility: int, app: str = text.APP) -> DataFrame:
     """(name, block, line, text) of the kept records."""
     keeps = checks.keeps
     if form == "jsonl":
@@ -84,7 +86,7 @@ def lines_of(scan: DataFrame, form: str, checks: Checks, proofs: bool, facility:
     if form == "csv":
         shown = text.csv_line(sequence=c("sequence"), timestamp_ns=c("timestamp_ns"), event_type=c("event_type"), source=c("source"), payload_hash=c("payload_hash"), prev_hash=c("prev_hash"), signed=c("signature").isNotNull(), entry_hash=c("entry_hash") if proofs else None)
     else:
-        shown = text.syslog_line(facility, sequence=c("sequence"), timestamp_ns=c("timestamp_ns"), event_type=c("event_type"), source=c("source"), payload_hash=c("payload_hash"))
+        shown = text.syslog_line(facility, app=app, sequence=c("sequence"), timestamp_ns=c("timestamp_ns"), event_type=c("event_type"), source=c("source"), payload_hash=c("payload_hash"))
     return rows.select("name", "block", "line", shown.alias("text"))
 
 
@@ -96,7 +98,7 @@ def in_order(lines: DataFrame) -> DataFrame:
 class Export:
     """An export whose manifest is known and whose lines can be written anywhere."""
 
-    def __init__(self, spark: SparkSession, directory: str, form: str = "jsonl", *, from_: str | None = None, to: str | None = None, proofs: bool = False, facility: int = FACILITY):
+    def __init__(self, spark: SparkSession, directory: str, form: str = "jsonl", *, from_: str | None = None, to: str | None = None, proofs: bool = False, facility: int = FACILITY, app: str = text.APP):
         if form not in FORMATS:
             raise ExportError(f"an export's format is one of {', '.join(FORMATS)}, not {form}")
         if not 0 <= facility <= 23:
@@ -116,7 +118,7 @@ class Export:
         finally:
             digest.release()
         self.manifest = Manifest(KIND, kept, source, filtered, from_, to)
-        self.lines = in_order(lines_of(scan, form, checks, proofs, facility))
+        self.lines = in_order(lines_of(scan, form, checks, proofs, facility, app))
 
     def inline(self) -> str | None:
         """The manifest as a last line, which only JSON lines have room for."""
@@ -160,10 +162,17 @@ class Export:
 
 
 def _rename(fs, old, new) -> None:
-    if fs.exists(new):
-        fs.delete(new, False)
-    if not fs.rename(old, new):
-        raise ExportError(f"{old.toString()} can't be renamed to {new.toString()}")
+    """Puts old in the place of new, which is there before and after: readers find the one or the other."""
+    if fs.getUri().getScheme() == "file":
+        os.replace(old.toUri().getPath(), new.toUri().getPath())
+        for p in (old, new):  # checksums of what was there
+            with contextlib.suppress(FileNotFoundError):
+                os.remove(f"{os.path.dirname(p.toUri().getPath())}/.{p.getName()}.crc")
+        return
+    hadoop = SparkSession.active()._jvm.org.apache.hadoop.fs
+    options = SparkSession.active()._sc._gateway.new_array(hadoop.Options.Rename, 1)
+    options[0] = hadoop.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(fs.getUri(), fs.getConf()).rename(fs.makeQualified(old), fs.makeQualified(new), options)
 
 
 def _put(fs, path, target: str, mark: str, data: bytes) -> None:

@@ -20,6 +20,10 @@ from ..operators.root import chain_root
 from ..sources import segments
 from .reports import LenientReport, blank_is_none, envelope
 
+#: Errors that a report lists, and warnings of records.
+LISTED = 100_000
+
+
 @dataclass(frozen=True)
 class Options:
     expected_root: str | None = None
@@ -101,8 +105,8 @@ class LenientVerification:
         self.digest = dg.digest(scan, checks)
         self.errors = errors_of(self.digest)
 
-    def report(self, list_errors: bool = True) -> LenientReport:
-        """list_errors: whether the report lists them, as its format wants, or leaves them to the errors frame, which may have any number."""
+    def report(self, most: int = LISTED) -> LenientReport:
+        """most: how many errors, and warnings, the report lists, the first ones in the log's order; a warning tells if there are more, and the errors frame has all."""
         o, digest, out = self.options, self.digest, LenientReport()
         totals = digest.totals
         found = self.errors if digest.n_errors else None
@@ -110,12 +114,12 @@ class LenientVerification:
         if halt is None:
             n, counts = totals["records"], {c: totals[c] for c in dg.COUNTERS}
             rows, last = digest.runs().select("start", "hashes"), totals["tail"]
-            listed = sorted(found.collect(), key=lambda e: (e["line"], e["rank"], e["sub"])) if found is not None and list_errors else []
+            listed = found.orderBy("line", "rank", "sub").limit(most).collect() if found is not None else []
         else:
             n, listed, last = halt["record"], [halt], last_before(halt)
             counts, rows = prefix_of(digest, halt)
             out.halted_early = True
-        warned = sorted(warnings_of(digest, halt).collect(), key=lambda w: w["record"]) if totals["warnings"] else []
+        warned = warnings_of(digest, halt).orderBy("record").limit(most).collect() if totals["warnings"] else []
         out.valid = found is None
         out.errors = [error_of(e) for e in listed]
         out.events_verified, out.signatures_verified, out.signatures_skipped, out.receipts_verified = n, counts["signatures_ok"], counts["signatures_skipped"], counts["receipts_ok"]
@@ -124,6 +128,8 @@ class LenientVerification:
             out.last_sequence, out.last_timestamp = int(last["sequence"]), last["ts"]
         out.chain_root = chain_root(rows, n)
         out.warnings = [*self._pin_warnings, *(w["text"] for w in warned)]
+        if len(listed) == most and halt is None and (total := found.count()) > most:
+            out.warnings.append(messages.W_MORE.format(listed=most, total=total))
         conclude(out, o, self.pin is None, counts["receipts_seen"])
         return out
 

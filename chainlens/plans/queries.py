@@ -1,7 +1,9 @@
 """The queries of the engine over the tables, and the same in SQL for an independent engine.
 
-Queries over literal inputs (vectors, damaged logs) have the expected rows as SQL; those over whole sealed logs have none, as
-SQL has no BLAKE3: tests hold them against a sequential verifier.
+Queries over literal inputs (vectors, damaged logs) have the expected rows as SQL. Those over whole sealed logs run the library's
+operators, and their SQL says what these must find in the table the log was made from: counts, times, errors of planted
+damage. As SQL has no BLAKE3, hashes appear as what follows for them (a root equals that of the sealing loop); tests
+hold the hashes themselves against a sequential verifier.
 """
 
 from __future__ import annotations
@@ -87,38 +89,47 @@ def _hashed(rows: DataFrame) -> DataFrame:
 _HASHED = f"SELECT *, sha256(payload) AS payload_hash, CASE WHEN sequence = 1 THEN '{ZEROS}' ELSE sha256((sequence - 1)::VARCHAR) END AS prev_hash FROM ({_EVENTS})"
 
 
-def _shown(rows: DataFrame) -> DataFrame:
-    whole = _hashed(rows).withColumn("signature", F.lit(None).cast("string")).withColumn("event_id", F.concat(F.lit("e-"), F.col("sequence").cast("string"))).withColumn("receipt", F.lit(None).cast(f"struct<{records.RECEIPT}>"))
-    return inspect.display(whole)
-
-
 @query(f"""
-SELECT sequence, {_RENDER} AS timestamp, event_type, source, payload_hash[1:16] || '...' AS payload_hash_short, prev_hash[1:16] || '...' AS prev_hash_short, false AS signed, 'e-' || sequence AS event_id, false AS has_receipt
-FROM (SELECT h.*, e.ts FROM ({_HASHED}) h JOIN events e ON e.event_id + 1 = h.sequence) ORDER BY sequence DESC LIMIT 10""")
+SELECT sequence, {_RENDER} AS timestamp, event_type, source, true AS signed, NULL::VARCHAR AS event_id, false AS has_receipt
+FROM (SELECT h.*, e.ts FROM ({_EVENTS}) h JOIN events e ON e.event_id + 1 = h.sequence) ORDER BY sequence DESC LIMIT 10""")
 def event_display_last_n(spark, sf_dir):
-    return _shown(_events(spark, sf_dir).orderBy(F.desc("sequence")).limit(10))
+    directory, _ = tables.sealed_events(spark, sf_dir, SEED)
+    shown = inspect.last_events(spark, directory, 10)
+    return spark.createDataFrame([(e["sequence"], e["timestamp"], e["event_type"], e["source"], e["signed"], e["event_id"], e["has_receipt"]) for e in shown], "sequence long, timestamp string, event_type string, source string, signed boolean, event_id string, has_receipt boolean")
+
+
+_ASKED = "SELECT 1 AS asked UNION ALL SELECT count(*) // 2 FROM events UNION ALL SELECT count(*) FROM events UNION ALL SELECT count(*) + 1 FROM events"
 
 
-@query("SELECT o_orderkey AS sequence, o_orderpriority AS event_type, o_orderstatus AS source FROM orders WHERE o_orderkey = (SELECT count(*) // 2 FROM orders)")
+@query(f"SELECT asked, e.sequence IS NOT NULL AS found, e.event_type, e.source, e.timestamp_ns FROM ({_ASKED}) LEFT JOIN ({_EVENTS}) e ON e.sequence = asked")
 def find_by_sequence(spark, sf_dir):
-    orders = tables.table(spark, sf_dir, "orders")
-    target = orders.count() // 2
-    return orders.where(F.col("o_orderkey") == target).select(F.col("o_orderkey").alias("sequence"), F.col("o_orderpriority").alias("event_type"), F.col("o_orderstatus").alias("source"))
+    directory, _ = tables.sealed_events(spark, sf_dir, SEED)
+    n = tables.table(spark, sf_dir, "events").count()
+    rows = []
+    for asked in (1, n // 2, n, n + 1):
+        e = inspect.find_event(spark, directory, asked)
+        rows.append((asked, e is not None, *((e["event_type"], e["source"], e["timestamp_ns"]) if e else (None, None, None))))
+    return spark.createDataFrame(rows, "asked long, found boolean, event_type string, source string, timestamp_ns long")
 
 
 @query(f"SELECT sequence, timestamp_ns, event_type FROM ({_EVENTS}) WHERE timestamp_ns BETWEEN {record.ns_of_rfc3339('2024-01-03T00:00:00Z')} AND {record.ns_of_rfc3339('2024-01-05T12:00:00+02:00')}")
 def time_range_filter(spark, sf_dir):
-    low, high = record.ns_of_rfc3339("2024-01-03T00:00:00Z"), record.ns_of_rfc3339("2024-01-05T12:00:00+02:00")
-    return _events(spark, sf_dir).where(F.col("timestamp_ns").between(low, high)).select("sequence", "timestamp_ns", "event_type")
+    directory, _ = tables.sealed_events(spark, sf_dir, SEED)
+    lines = export.Export(spark, directory, "jsonl", from_="2024-01-03T00:00:00Z", to="2024-01-05T12:00:00+02:00").lines
+    return lines.select(F.from_json("text", "sequence long, timestamp_ns long, event_type string").alias("r")).select("r.*")
 
 
-@query(f"SELECT sequence, true AS under_all, false AS under_none, sequence % 1000 = 0 AS under_sample, false AS under_sample_0 FROM ({_EVENTS})")
+@query(f"""
+SELECT policy, count(*) AS events, sum(chosen)::BIGINT AS signatures, (count(*) - sum(chosen))::BIGINT AS skipped, true AS valid
+FROM (SELECT 'all' AS policy, 1 AS chosen FROM ({_EVENTS}) UNION ALL SELECT 'none', 0 FROM ({_EVENTS}) UNION ALL SELECT 'sample 7', CASE WHEN sequence % 7 = 0 THEN 1 ELSE 0 END FROM ({_EVENTS})) GROUP BY policy""")
 def sample_policy_rows(spark, sf_dir):
-    def selected(policy: lenient.Policy):
-        return F.lit(policy.kind == "all") if policy.kind != "sample" or not policy.one_in else F.col("sequence") % policy.one_in == 0
-
-    P = lenient.Policy
-    return _events(spark, sf_dir).select("sequence", selected(P()).alias("under_all"), selected(P("none")).alias("under_none"), selected(P("sample", 1000)).alias("under_sample"), selected(P("sample", 0)).alias("under_sample_0"))
+    """How many signatures each policy checks on the sealed log."""
+    directory, root = tables.sealed_events(spark, sf_dir, SEED)
+    P, rows = lenient.Policy, []
+    for name, policy in (("all", P()), ("none", P("none")), ("sample 7", P("sample", 7))):
+        r = lenient.verify_directory(spark, directory, lenient.Options(expected_root=root, policy=policy))
+        rows.append((name, r.events_verified, r.signatures_verified, r.signatures_skipped, r.valid))
+    return spark.createDataFrame(rows, "policy string, events long, signatures long, skipped long, valid boolean")
 
 
 # Neighbouring rows
@@ -171,16 +182,27 @@ def first_last(spark, sf_dir):
     return adjacency.ends(tables.table(spark, sf_dir, "orders"), F.struct("o_orderdate", "o_orderkey"), ["o_orderkey", "o_totalprice"])
 
 
-@query(f"SELECT count(*) AS total_events, min(sequence) AS first_sequence, max(sequence) AS last_sequence, min(timestamp_ns) AS first_timestamp_ns, max(timestamp_ns) AS last_timestamp_ns, false AS has_signatures, true AS is_sdk_format, count(*) FILTER (event_type = 'purchase') AS events_with_receipt, count(*) FILTER (event_type <> 'purchase') AS events_without_receipt FROM ({_EVENTS})")
+@query(f"SELECT count(*) AS total_events, min(sequence) AS first_sequence, max(sequence) AS last_sequence, arg_min(timestamp_ns, sequence) AS first_timestamp_ns, arg_max(timestamp_ns, sequence) AS last_timestamp_ns, true AS has_signatures, false AS is_sdk_format, 0::BIGINT AS events_with_receipt, count(*) AS events_without_receipt, true AS prev_hash_links_ok, true AS sequence_contiguous, (SELECT coalesce(bool_and(timestamp_ns >= p), true) FROM (SELECT timestamp_ns, lag(timestamp_ns) OVER (ORDER BY sequence) AS p FROM ({_EVENTS})) WHERE p IS NOT NULL) AS timestamps_monotonic, true AS all_signed, 0::BIGINT AS streams FROM ({_EVENTS})")
 def wal_stats(spark, sf_dir):
-    rows = _events(spark, sf_dir).withColumn("signature", F.lit(None).cast("string")).withColumn("receipt", F.col("event_type") == "purchase")
-    c = F.col
-    return rows.agg(F.count("*").alias("total_events"), F.min_by("sequence", "sequence").alias("first_sequence"), F.max_by("sequence", "sequence").alias("last_sequence"), F.min_by("timestamp_ns", "sequence").alias("first_timestamp_ns"), F.max_by("timestamp_ns", "sequence").alias("last_timestamp_ns"), F.bool_or(c("signature").isNotNull()).alias("has_signatures"), F.bool_or(c("source").isNotNull()).alias("is_sdk_format"), F.count_if("receipt").alias("events_with_receipt"), F.count_if(~c("receipt")).alias("events_without_receipt"))
+    directory, _ = tables.sealed_events(spark, sf_dir, SEED)
+    s = inspect.stats(spark, directory)
+    names = ("total_events", "first_sequence", "last_sequence", "first_timestamp_ns", "last_timestamp_ns", "has_signatures", "is_sdk_format", "events_with_receipt", "events_without_receipt")
+    return _row(spark, **{n: s[n] for n in names}, **s["integrity"], streams=len(s["stream_ids"]))
 
 
-@query(f"SELECT DISTINCT source AS stream_id FROM ({_EVENTS}) ORDER BY 1")
+@query(f"SELECT DISTINCT source AS stream_id FROM ({_EVENTS})")
 def stream_ids_sorted(spark, sf_dir):
-    return _events(spark, sf_dir).select(F.col("source").alias("stream_id")).distinct().orderBy("stream_id")
+    """Of a log whose records have stream ids; its lines are the sealed ones with that field set."""
+    directory, _ = tables.sealed_events(spark, sf_dir, SEED)
+    lines = spark.read.text(directory).select(F.to_json(F.struct(F.lit("s").alias("event_id"), F.get_json_object("value", "$.source").alias("stream_id"))).alias("more"), "value")
+    out = scratch.new_dir(spark, "streams")
+    lines.select(F.concat(F.expr("substring(more, 1, length(more) - 1)"), F.lit(","), F.expr("substring(regexp_replace(value, '\"(event_id|stream_id)\":null,?', ''), 2)")).alias("value")).write.mode("overwrite").text(out + "/raw")
+    at, fs = scratch.file_system(spark, out)
+    fs.mkdirs(at(f"{out}/log"))
+    parts = sorted(s.getPath().getName() for s in fs.listStatus(at(f"{out}/raw")) if s.getPath().getName().startswith("part-"))
+    for n, part in enumerate(parts):
+        fs.rename(at(f"{out}/raw/{part}"), at(f"{out}/log/{n:08d}.jsonl"))
+    return spark.createDataFrame([(s,) for s in inspect.stats(spark, f"{out}/log")["stream_ids"]], "stream_id string")
 
 
 @query(f"""SELECT sequence, rank, error_type FROM (
@@ -257,7 +279,7 @@ def _token_sql(x: str) -> str:
     return f"CASE WHEN {cleaned} = '' THEN '-' ELSE {cleaned} END"
 
 
-@query(f"""SELECT doc_id, '<134>1 ' || strftime(make_timestamp(doc_id * 1000000), '%Y-%m-%dT%H:%M:%S') || '+00:00 ' || {_token_sql('lang')} || ' spine-wal ' || doc_id || ' ' || {_token_sql('t')} || ' - msg="seq=' || doc_id || ' type=' || {_escape_sql('t')} || ' hash={'ab' * 8}"' AS line FROM ({_ODD})""")
+@query(f"""SELECT doc_id, '<134>1 ' || strftime(make_timestamp(doc_id * 1000000), '%Y-%m-%dT%H:%M:%S') || '+00:00 ' || {_token_sql('lang')} || ' chainlens ' || doc_id || ' ' || {_token_sql('t')} || ' - msg="seq=' || doc_id || ' type=' || {_escape_sql('t')} || ' hash={'ab' * 8}"' AS line FROM ({_ODD})""")
 def syslog_export_lines(spark, sf_dir):
     line = text.syslog_line(export.FACILITY, sequence=F.col("doc_id"), timestamp_ns=F.col("doc_id") * F.lit(10**9), event_type=F.col("t"), source=F.col("lang"), payload_hash=F.lit("ab" * 32))
     return _odd(spark, sf_dir).select("doc_id", line.alias("line"))
@@ -613,73 +635,100 @@ def _row(spark: SparkSession, **cells: object) -> DataFrame:
     return spark.createDataFrame([tuple(cells.values())], ", ".join(f"{k} {kinds[type(v)]}" for k, v in cells.items()))
 
 
-@query()
+@query("SELECT count(*) AS records, true AS as_sealed FROM events")
 def chain_root_events(spark, sf_dir):
     directory, root = tables.sealed_events(spark, sf_dir)
     rows = records.read_log(spark, directory, hashes=True)
-    return _row(spark, records=rows.count(), chain_root=chain_root_of(rows.select("sequence", "entry_hash"), "sequence", "entry_hash"), expected_root=root)
+    return _row(spark, records=rows.count(), as_sealed=chain_root_of(rows.select("sequence", "entry_hash"), "sequence", "entry_hash") == root)
 
 
-@query()
+@query(f"SELECT sequence, timestamp_ns, event_type, source, true AS has_hash FROM ({_EVENTS})")
 def log_records_events(spark, sf_dir):
     directory, _ = tables.sealed_events(spark, sf_dir)
-    return records.read_log(spark, directory, hashes=True).drop("name", "block", "line", "problem")
+    return records.read_log(spark, directory, hashes=True).select(F.col("sequence").cast("long").alias("sequence"), "timestamp_ns", "event_type", "source", F.coalesce(F.length("entry_hash") == 64, F.lit(False)).alias("has_hash"))
 
 
-@query()
+@query("SELECT true AS valid, count(*) AS events, 0::BIGINT AS signatures, count(*) AS skipped, true AS as_sealed FROM events")
 def chain_only_verify_events(spark, sf_dir):
     directory, root = tables.sealed_events(spark, sf_dir, SEED)
     r = lenient.verify_directory(spark, directory, lenient.Options(expected_root=root, policy=NONE))
-    return _row(spark, valid=r.valid, events=r.events_verified, signatures=r.signatures_verified, skipped=r.signatures_skipped, chain_root=r.chain_root)
+    return _row(spark, valid=r.valid, events=r.events_verified, signatures=r.signatures_verified, skipped=r.signatures_skipped, as_sealed=r.chain_root == root)
 
 
-@query()
+@query("SELECT true AS valid, count(*) AS events, count(*) AS signatures, 0::BIGINT AS errors, true AS as_sealed FROM events")
 def lenient_verify_events(spark, sf_dir):
     directory, root = tables.sealed_events(spark, sf_dir, SEED)
     r = lenient.verify_directory(spark, directory, lenient.Options(expected_root=root, trusted_pubkey=SigningKey(SEED).public.hex()))
-    return _row(spark, valid=r.valid, events=r.events_verified, signatures=r.signatures_verified, errors=len(r.errors), chain_root=r.chain_root)
+    return _row(spark, valid=r.valid, events=r.events_verified, signatures=r.signatures_verified, errors=len(r.errors), as_sealed=r.chain_root == root)
+
+
+#: Records that are lost from, and records whose time is changed in, a sealed log.
+_LOST, _EDITED = "sequence % 97 = 13", "sequence % 89 = 5"
 
 
-@query()
+@query(f"""
+WITH e AS (SELECT sequence FROM ({_EVENTS}) WHERE NOT ({_LOST})),
+p AS (SELECT sequence, lag(sequence) OVER (ORDER BY sequence) AS before FROM e)
+SELECT sequence, 'sequence_gap' AS error_type FROM p WHERE sequence <> before + 1
+UNION ALL SELECT sequence, 'chain_break' FROM p WHERE sequence <> before + 1 OR before % 89 = 5
+UNION ALL SELECT sequence, 'invalid_signature' FROM e WHERE {_EDITED}""")
+def damaged_log_errors(spark, sf_dir):
+    """The errors of a log that lost some records, and in which others were edited."""
+    directory, _ = tables.sealed_events(spark, sf_dir, SEED)
+    own = F.get_json_object("value", "$.sequence").cast("long").alias("sequence")
+    lines = spark.read.text(directory).select(own, "value").where(f"NOT ({_LOST})").orderBy("sequence")
+    edited = F.when(F.expr(_EDITED), F.regexp_replace("value", '"event_type":"', '"event_type":"x')).otherwise(F.col("value"))
+    out = scratch.new_dir(spark, "damaged")
+    lines.select(edited.alias("value")).coalesce(1).write.mode("overwrite").text(f"{out}/raw")
+    at, fs = scratch.file_system(spark, out)
+    found = [s.getPath() for s in fs.listStatus(at(f"{out}/raw")) if s.getPath().getName().startswith("part-")]
+    fs.mkdirs(at(f"{out}/log"))
+    fs.rename(found[0], at(f"{out}/log/00000000.jsonl"))
+    v = lenient.LenientVerification(segments.scan_directory(spark, f"{out}/log"), lenient.Options(trusted_pubkey=SigningKey(SEED).public.hex()))
+    return v.errors.select(F.col("sequence").cast("long").alias("sequence"), "error_type")
+
+
+@query("SELECT 'valid' AS status, count(*) AS events, count(*) AS records, true AS as_sealed FROM events")
 def strict_verify_events(spark, sf_dir):
     directory, root = tables.sealed_events(spark, sf_dir, SEED, "strict")
     r = strict.verify_directory(spark, directory, SigningKey(SEED).public.hex(), root)
-    return _row(spark, status=r.status, events=r.events_verified, records=len(r.records), chain_root=r.chain_root)
+    return _row(spark, status=r.status, events=r.events_verified, records=len(r.records), as_sealed=r.chain_root == root)
 
 
-@query()
+@query("SELECT ((count(*) + 19999) // 20000)::BIGINT AS segments, count(*) AS events, 1::BIGINT AS first, count(*) AS last, true AS intact, true AS has_size FROM events")
 def inspect_stats_events(spark, sf_dir):
     directory, _ = tables.sealed_events(spark, sf_dir, SEED)
     s = inspect.stats(spark, directory)
-    return _row(spark, segments=s["segment_count"], events=s["total_events"], first=s["first_sequence"], last=s["last_sequence"], intact=all(s["integrity"].values()), bytes=s["total_size_bytes"])
+    return _row(spark, segments=s["segment_count"], events=s["total_events"], first=s["first_sequence"], last=s["last_sequence"], intact=all(s["integrity"].values()), has_size=s["total_size_bytes"] > 100 * s["total_events"])
 
 
-@query()
+@query(f"SELECT sequence, timestamp_ns, event_type, source, true AS has_proof FROM ({_EVENTS})")
 def jsonl_export_lines(spark, sf_dir):
     directory, _ = tables.sealed_events(spark, sf_dir)
-    return export.Export(spark, directory, "jsonl", proofs=True).lines
+    lines = export.Export(spark, directory, "jsonl", proofs=True).lines
+    return lines.select(F.from_json("text", "sequence long, timestamp_ns long, event_type string, source string, entry_hash string").alias("r")).select("r.sequence", "r.timestamp_ns", "r.event_type", "r.source", F.coalesce(F.length("r.entry_hash") == 64, F.lit(False)).alias("has_proof"))
 
 
-@query()
+@query(f"SELECT count(*) FILTER (timestamp_ns >= {record.ns_of_rfc3339('2024-01-03T00:00:00Z')}) AS exported, true AS of_whole_log, bool_and(timestamp_ns >= {record.ns_of_rfc3339('2024-01-03T00:00:00Z')}) AS digests_agree FROM ({_EVENTS})")
 def export_manifest(spark, sf_dir):
-    directory, _ = tables.sealed_events(spark, sf_dir)
+    directory, root = tables.sealed_events(spark, sf_dir)
     m = export.Export(spark, directory, "csv", from_="2024-01-03T00:00:00Z").manifest
-    return _row(spark, kind=m.kind, exported=m.exported_count, source_chain_root=m.source_chain_root, filtered_export_digest=m.filtered_export_digest)
+    return _row(spark, exported=m.exported_count, of_whole_log=m.source_chain_root == root, digests_agree=m.source_chain_root == m.filtered_export_digest)
 
 
-@query()
+@query("SELECT true AS valid, count(*) AS events, true AS as_sealed FROM events")
 def streaming_verify_events(spark, sf_dir):
     directory, root = tables.sealed_events(spark, sf_dir)
     v = StreamVerifier(spark, directory, scratch.new_dir(spark, "stream"), lenient.Options(expected_root=root, policy=NONE))
     v.start(once=True).awaitTermination()
     r = v.report()
-    return _row(spark, valid=r.valid, events=r.events_verified, chain_root=r.chain_root)
+    return _row(spark, valid=r.valid, events=r.events_verified, as_sealed=r.chain_root == root)
 
 
-@query()
+@query("SELECT conv_id::VARCHAR AS chain, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS sequence, true AS has_hash FROM conversations")
 def seal_conversations(spark, sf_dir):
     """Every conversation as a chain of its own, sealed side by side."""
     turns = tables.table(spark, sf_dir, "conversations")
     payload = F.to_json(F.struct("role", F.coalesce("text", F.lit("")).alias("text"), F.col("turn").cast("long").alias("turn")))
     rows = turns.select(F.col("conv_id").cast("string").alias("chain"), F.col("turn").cast("long").alias("ts"), F.col("role").alias("event_type"), F.lit("chat").alias("source"), payload.alias("payload"))
-    return seal.seal_chains(rows).select("chain", F.col("sequence").cast("long").alias("sequence"), "entry_hash")
+    return seal.seal_chains(rows).select("chain", F.col("sequence").cast("long").alias("sequence"), F.coalesce(F.length("entry_hash") == 64, F.lit(False)).alias("has_hash"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from ..functions import record
+
+RECEIPT_DOMAIN, STRICT_DOMAIN = record.RECEIPT_DOMAIN.decode(), record.STRICT_DOMAIN.decode()
+
 # Golden vectors of the format.
 
 ZEROS, AB, CD = "0" * 64, "ab" * 32, "cd" * 32
@@ -46,8 +50,8 @@ CHAIN_ROOT = "d69d6d10fdee5f314a2d4f80d5ad8a29e02374f39951746a7388b9cc72088169"
 
 #: name, event_id, payload_hash, server_time, server_seq, server_key_id, sig_alg, batch_id, what is signed
 RECEIPT = [
-    ("with_batch_id", "evt-42", AB, "2026-05-27T10:00:00Z", 7, "primary-2025", "ed25519", "batch-9", 'spine-receipt-v1\0{"batch_id":"batch-9","event_id":"evt-42","payload_hash":"' + AB + '","server_key_id":"primary-2025","server_seq":7,"server_time":"2026-05-27T10:00:00Z","sig_alg":"ed25519"}'),
-    ("batch_id_null", "evt-43", CD, "2026-05-27T10:00:01Z", 8, "primary-2025", "ed25519", None, 'spine-receipt-v1\0{"batch_id":null,"event_id":"evt-43","payload_hash":"' + CD + '","server_key_id":"primary-2025","server_seq":8,"server_time":"2026-05-27T10:00:01Z","sig_alg":"ed25519"}'),
+    ("with_batch_id", "evt-42", AB, "2026-05-27T10:00:00Z", 7, "primary-2025", "ed25519", "batch-9", RECEIPT_DOMAIN + '{"batch_id":"batch-9","event_id":"evt-42","payload_hash":"' + AB + '","server_key_id":"primary-2025","server_seq":7,"server_time":"2026-05-27T10:00:00Z","sig_alg":"ed25519"}'),
+    ("batch_id_null", "evt-43", CD, "2026-05-27T10:00:01Z", 8, "primary-2025", "ed25519", None, RECEIPT_DOMAIN + '{"batch_id":null,"event_id":"evt-43","payload_hash":"' + CD + '","server_key_id":"primary-2025","server_seq":8,"server_time":"2026-05-27T10:00:01Z","sig_alg":"ed25519"}'),
 ]
 
 SEED, PUBLIC = "42" * 32, "2152f8d19b791d24453242e15f2eab6cb7cffa7b6a5ed30097960e069881db12"
@@ -55,5 +59,5 @@ SIGNED_HASH = "0ad2015edb01f6f3aa87c222e66cbe1d259e47b11d487d70177bb149bfcc67d9"
 #: name, domain before the hash's text, signature
 SIGNATURES = [
     ("lenient", "", "77ab8d765df147a99b8ac99e05715e2590af434b02ebcc6c1d1bc51474d0155207917d4e6a02491594e6a8fd6bd1f613d27dbd44ad474915c72240e868f2ea01"),
-    ("strict", "spine-wal-v1\0", "0b55bb479ca0c835b864b6426710f0ad69ede1bdadfe552887346f959678b157f33483a9fca5e5c4e22778e0c33343f4aee789e23284cc0e11cd0d7816bcc90d"),
+    ("strict", STRICT_DOMAIN, "0b55bb479ca0c835b864b6426710f0ad69ede1bdadfe552887346f959678b157f33483a9fca5e5c4e22778e0c33343f4aee789e23284cc0e11cd0d7816bcc90d"),
 ]

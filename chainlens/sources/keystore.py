@@ -8,9 +8,10 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import ed25519, messages, strict_json
+from ..functions.wire import VALUES
 
 # Fixed value of the file format.
-SCHEMA = "spine-keystore-v1"
+SCHEMA = VALUES["keystore_schema"]
 
 
 class KeystoreError(ValueError):

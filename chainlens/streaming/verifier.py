@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions import blake3
+from ..functions import blake3, messages
 from ..operators import digest as dg
 from ..operators.digest import Checks
 from ..operators.root import nodes_of
@@ -171,18 +171,20 @@ class StreamVerifier:
     def errors(self) -> DataFrame:
         return self.spark.read.option("basePath", f"{self.home}/errors").parquet(f"{self.home}/errors")
 
-    def report(self) -> LenientReport:
-        """The report of all that has been read."""
+    def report(self, most: int = lenient.LISTED) -> LenientReport:
+        """The report of all that has been read; it lists the first errors and warnings, errors() has all."""
         s, out = self.state(), LenientReport()
-        listed = self.errors().orderBy("line", "rank", "sub").collect() if s.batch >= 0 else []
+        listed = self.errors().orderBy("line", "rank", "sub").limit(most).collect() if s.batch >= 0 else []
         out.errors = [lenient.error_of(e) for e in listed]
         out.valid, out.halted_early = not listed, s.halted
         out.events_verified, out.signatures_verified, out.signatures_skipped, out.receipts_verified = s.records, s.counts["signatures_ok"], s.counts["signatures_skipped"], s.counts["receipts_ok"]
         if s.first and s.tail:
             out.first_sequence, out.first_timestamp, out.last_sequence, out.last_timestamp = int(s.first["sequence"]), s.first["ts"], int(s.tail["sequence"]), s.tail["ts"]
         out.chain_root = s.hash().digest().hex()
-        warned = [r["text"] for r in self.spark.read.parquet(f"{self.home}/warnings").orderBy("record").collect()] if s.batch >= 0 else []
+        warned = [r["text"] for r in self.spark.read.parquet(f"{self.home}/warnings").orderBy("record").limit(most).collect()] if s.batch >= 0 else []
         out.warnings = [*self._pin_warnings, *warned]
+        if len(listed) == most and (total := self.errors().count()) > most:
+            out.warnings.append(messages.W_MORE.format(listed=most, total=total))
         lenient.conclude(out, self.options, self.pin is None, s.counts["receipts_seen"])
         return out
 

@@ -109,7 +109,7 @@ def test_anchors_and_warnings(spark):
         r = run(expected_root=blank)
         assert r.valid and r.warnings[0] == messages.W_NO_ROOT
     r = run(trusted_pubkey="zz", expected_root=root)
-    assert r.valid and r.warnings == ["trusted_pubkey is not a valid 32-byte hex string (expected 64 hex chars, got 2); falling back to record-declared pubkeys"]
+    assert r.valid and r.warnings == [messages.W_BAD_PIN.format(why="expected 64 hex chars, got 2")]
     r = lenient.verify_bytes(spark, b"", lenient.Options(expected_root=root))
     assert not r.valid and r.errors[0]["error_type"] == "root_mismatch" and r.warnings == [messages.W_EMPTY]
 
@@ -162,8 +162,9 @@ def test_errors_as_a_frame(spark):
     from chainlens.sources import segments
 
     v = lenient.LenientVerification(segments.scan_bytes(spark, b"x\n" * 50, 7))
-    r = v.report(list_errors=False)
-    assert not r.valid and not r.errors
+    r = v.report(most=3)
+    assert not r.valid and [e["details"].split(":")[0] for e in r.errors] == ["line 1", "line 2", "line 3"]
+    assert messages.W_MORE.format(listed=3, total=50) in r.warnings
     assert v.errors.where("error_type = 'parse_error'").count() == 50
     assert sorted(e["line"] for e in v.errors.collect()) == list(range(50))
     v.digest.release()

@@ -123,8 +123,8 @@ def test_syslog(spark, log, tmp_path, capsys):
     code, out, _ = run(spark, capsys, "export", "-w", d, "--export-format", "syslog", "--syslog-facility", 1)
     lines = out.split("\n")[:-1]
     assert code == 0 and len(lines) == 10
-    assert lines[3] == f'<14>1 2023-11-14T22:13:23+00:00 @x spine-wal 4 a_b - msg="seq=4 type=a\\nb hash={rows[3]["payload_hash"][:16]}"'
-    assert 'spine-wal 6 quo - msg="seq=6 type=q\\"u\\\\o' in lines[5] and " 7 - - msg" in lines[6] and "type=x\\x01y" in lines[8]
+    assert lines[3] == f'<14>1 2023-11-14T22:13:23+00:00 @x chainlens 4 a_b - msg="seq=4 type=a\\nb hash={rows[3]["payload_hash"][:16]}"'
+    assert 'chainlens 6 quo - msg="seq=6 type=q\\"u\\\\o' in lines[5] and " 7 - - msg" in lines[6] and "type=x\\x01y" in lines[8]
     assert lines[1].split()[2] == "-"
     target = tmp_path / "out.log"
     run(spark, capsys, "export", "-w", d, "--export-format", "syslog", "--syslog-facility", 1, "-o", target)
