@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import strict_json
+from . import scratch
 from .keystore import read_bytes
 
 SCHEMA_VERSION = 1
@@ -46,14 +47,24 @@ class Manifest:
 
 
 def asset_digests(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, sha256) of files, hashed where they are read."""
+    """(path, sha256) of files below 2 GB, hashed where they are read."""
     return spark.read.format("binaryFile").load(paths).select("path", F.sha2("content", 256).alias("sha256"))
 
 
+def digest(spark: SparkSession, path: str) -> str:
+    """The SHA-256 of a file of any size, read as a stream by the driver's JVM."""
+    at, fs = scratch.file_system(spark, path)
+    jvm = spark._jvm
+    sha = jvm.java.security.MessageDigest.getInstance("SHA-256")
+    stream = jvm.java.security.DigestInputStream(fs.open(at(path)), sha)
+    jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, jvm.java.io.OutputStream.nullOutputStream(), 1 << 16, True)
+    return bytes(sha.digest()).hex()
+
+
 def gate(spark: SparkSession, manifest: Manifest, assets: dict[str, str]) -> None:
     """ManifestError unless the SHA-256 of every asset (wal, wasm or js, by path) is the pinned one."""
     for kind, path in assets.items():
         pinned = manifest.fields.get(DIGESTS[kind])
-        found = asset_digests(spark, [path]).first()["sha256"]
+        found = digest(spark, path)
         if found != pinned:
             raise ManifestError(f"{kind}: the SHA-256 is {found}, the manifest pins {pinned}")
