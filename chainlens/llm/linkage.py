@@ -2,9 +2,10 @@
 
 Equal texts are one class, and only a class's first document is sketched further. Texts that share a band key meet in a
 bucket. No bucket emits all its pairs: in each round every member is compared with one leader of its bucket, and only if
-the two are not in one component yet. A large group of near copies so costs a comparison or two a member. After ROUNDS
-rounds, the buckets that still hold several components are settled in place, first by sketches alone: a task gets the
-sketches of a block of a bucket, or of two, and tells which members have a partner there that may be near. Only those
+the two are not in one component yet. A large group of near copies so costs a comparison or two a member. The first two
+leaders are a bucket's least id and its largest, so a bucket of two members is done after a round, and one of three after
+two; few are larger. After ROUNDS rounds, those that are, and still hold several components, are settled in place, first
+by sketches alone: a task gets the sketches of a block of a bucket, or of two, and tells which members have a partner there that may be near. Only those
 members' texts move, and a task emits only the links that join components, so never more than its members. Nothing is
 capped: pairs that share a bucket are all looked at, but for those whose sketches rule them out.
 
@@ -186,8 +187,9 @@ def _links(spark: SparkSession, members: DataFrame, cand: DataFrame, marks: Data
     links: DataFrame | None = None
     live, tested = members.withColumn("root", F.col("id")), None
     for round_ in range(ROUNDS):
-        order = F.xxhash64("id", F.lit(round_)) if round_ else F.col("id")
-        lead = stored(live.groupBy("k").agg(F.min(F.struct(order.alias("o"), "id", "size", "root")).alias("l")).select("k", F.col("l.id").alias("lid"), F.col("l.size").alias("lsize"), F.col("l.root").alias("lroot")), "leaders")
+        # the least id, the largest, then any
+        order, pick = F.xxhash64("id", F.lit(round_)) if round_ > 1 else F.col("id"), F.max if round_ == 1 else F.min
+        lead = stored(live.groupBy("k").agg(pick(F.struct(order.alias("o"), "id", "size", "root")).alias("l")).select("k", F.col("l.id").alias("lid"), F.col("l.size").alias("lsize"), F.col("l.root").alias("lroot")), "leaders")
         met = by_bucket(live, lead, lead.count()).where(F.col("root") != F.col("lroot")).where(F.least("size", "lsize") >= F.greatest("size", "lsize") * F.lit(threshold))
         pairs = met.select(F.least("id", "lid").alias("a"), F.greatest("id", "lid").alias("b")).distinct()
         if tested is not None:
@@ -202,14 +204,14 @@ def _links(spark: SparkSession, members: DataFrame, cand: DataFrame, marks: Data
             links = new if links is None else links.union(new)
             tested = done.select("a", "b") if tested is None else tested.union(done.select("a", "b"))
         dropped(like)
-        # what remains: buckets that hold two components or more
+        # what remains: buckets that hold two components or more, and members of which no leader was one
         now = members.select("k", "id", "size")
         if links is not None:
             roots = components(spark, links)
             now = now.join(small(roots, roots.count()), "id", "left").select("k", "id", "size", F.coalesce("root", "id").alias("root"))
         else:
             now = now.withColumn("root", F.col("id"))
-        split = stored(now.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"), F.sum("size").alias("words")).where("lo < hi").select("k", "n", "words"), "split")
+        split = stored(now.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"), F.sum("size").alias("words")).where(F.col("lo") < F.col("hi")).where(F.col("n") > min(round_ + 2, 3)).select("k", "n", "words"), "split")
         n_split = split.count()
         if not n_split:
             return links

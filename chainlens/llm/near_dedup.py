@@ -29,6 +29,8 @@ from .common import dropped, free_name, mix, shingle_hashes, stored
 
 WIDTH, THRESHOLD, BANDS, ROWS = 5, 0.8, 30, 6
 REGISTERS = BANDS * ROWS
+#: Events of a process that signatures() makes at a time, at most.
+AT_A_TIME = 32
 _ONE = np.uint64(1)
 
 
@@ -64,24 +66,27 @@ def signatures(owner: np.ndarray, shingle: np.ndarray, weight: np.ndarray, texts
         live = np.flatnonzero(bound > 0)
         state, time, step = state[live], time[live], 0
         while len(live):
-            step += 1
-            state = mix(state + np.uint64(step))
-            # exponential gaps: compare before the logarithm is taken, as most processes end here
-            u = _uniform(state)
-            room = np.exp(-(bound[live] - time) * rate[live])
-            on = u > room
-            live, state, time, u = live[on], state[on], time[on], u[on]
-            time = time - np.log(u) / rate[live]
-            more = mix(state ^ np.uint64(0xA0761D6478BD642F))
+            # of the few processes with many events, several are made at a time; those after a process's end don't count
+            states = np.empty((max(1, min(AT_A_TIME, 8192 // len(live))), len(live)), np.uint64)
+            for j in range(len(states)):
+                step += 1
+                state = states[j] = mix(state + np.uint64(step))
+            u = _uniform(states)
+            times = np.cumsum(np.vstack((time, -np.log(u) / rate[live])), axis=0)
+            room = np.exp(np.minimum(-(bound[live] - times[:-1]) * rate[live], 0))
+            on = np.logical_and.accumulate(u > room, axis=0)
+            of = live[np.nonzero(on)[1]]
+            more = mix(states[on] ^ np.uint64(0xA0761D6478BD642F))
             reg = ((more >> np.uint64(32)) * np.uint64(REGISTERS) >> np.uint64(32)).astype(np.int64)
-            level = low[live] + ((more & np.uint64(0xFFFFFFFF)) * length[live].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
-            hit = np.flatnonzero(level < most[live])
-            o, r, t, m = own[live[hit]], reg[hit], time[hit], more[hit]
+            level = low[of] + ((more & np.uint64(0xFFFFFFFF)) * length[of].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+            hit = np.flatnonzero(level < most[of])
+            o, r, t, m = own[of[hit]], reg[hit], times[1:][on][hit], more[hit]
             flat = o * REGISTERS + r
             b, g = best.reshape(-1), mark.reshape(-1)
             np.minimum.at(b, flat, t)
             win = t == b[flat]
             g[flat[win]] = m[win]
+            live, state, time = live[on[-1]], state[on[-1]], times[-1][on[-1]]
         empty = np.isinf(best).any(1) & todo
         todo = empty
         factor[empty] *= 2

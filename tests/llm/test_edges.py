@@ -1,5 +1,6 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing names."""
 
+import hashlib
 import math
 import random
 
@@ -13,6 +14,8 @@ import public_tokenizers
 
 PATH, PATTERN = public_tokenizers.path(queries.VOCABULARY), public_tokenizers.PATTERN
 WORDS = [f"w{i}" for i in range(300)]
+#: SHA-256 of the signatures of a few texts, as made one event at a time.
+SIGNATURES = "2d47c4fc34502158737f87d847e6aa6eae0320d6aab0090f43778c42bf48d2ae"
 LONG = " ".join(WORDS[i * i % 300] for i in range(60_000))
 ROWS = [(1, None), (2, ""), (3, " \n\t "), (4, "one two"), (5, "one two"), (6, LONG), (7, LONG + " more"), (8, "\n".join(["x" * 50] * 3)), (9, "é" * 30 + "日本"), (None, "no id"), (4, "again four")]
 
@@ -182,6 +185,33 @@ def test_planted_pairs_are_found(spark, frame):
     assert all(got[2 * i] != got[2 * i + 1] for i in range(600) if (2 * i, 2 * i + 1) not in pairs)
 
 
+def test_small_buckets_are_done_after_the_rounds(spark, frame, monkeypatch):
+    """Pairs and triples that share buckets and are not alike don't have them settled again; a link that no least id has is found."""
+    rng, rows, settled = random.Random(17), [], []
+    for i in range(30):
+        base = [f"s{i}w{k}" for k in range(120)]
+        other = lambda n: [*base[:-n], *(f"s{i}r{rng.randrange(10**9)}" for _ in range(n))]  # noqa: B023, E731
+        far = other(30)  # at a likeness of about 0.6
+        rows += [(3 * i, " ".join(base)), (3 * i + 1, " ".join(far))]
+        if i % 2:
+            rows.append((3 * i + 2, " ".join(far[:-2] + ["x", "y"])))
+    real = linkage._settled
+    monkeypatch.setattr(linkage, "_settled", lambda *a: settled.append(a[2]) or real(*a))
+    got = {r["doc_id"]: (r["class_id"], r["group_id"]) for r in near_dedup.near_groups(frame(rows)).collect()}
+    assert got == brute.groups(rows)
+    assert sum(i != g for i, (_, g) in got.items()) == 15 and not settled
+
+
+@pytest.mark.parametrize("at_a_time", [1, 5, 32])
+def test_signatures_whatever_is_made_at_a_time(at_a_time, monkeypatch):
+    """Of texts whose shingles repeat thousands of times, too: the first event of each register, made one after the other."""
+    rng = random.Random(18)
+    texts = ["a " * 3000 + "b c", "", "x y z", " ".join(rng.choices(WORDS, k=400)), ("p q r s t " * 700 + " ".join(WORDS[:50]))]
+    monkeypatch.setattr(near_dedup, "AT_A_TIME", at_a_time)
+    sig = near_dedup.signatures(*near_dedup.bags(*common.shingle_hashes(texts, 5)), len(texts))
+    assert hashlib.sha256(sig.tobytes()).hexdigest() == SIGNATURES
+
+
 def test_buckets_are_joined_with_salts(spark, frame, monkeypatch):
     monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
     base = [f"b{k}" for k in range(80)]
