@@ -31,6 +31,8 @@ from .common import column, dropped, give_back, mix, pieces, shingle_hashes, sma
 ROUNDS, ODDS, SALTS = 2, 1e-9, 16
 #: Members and words of a block of a bucket that is settled in one task; larger buckets have several blocks, and a task for each two of them.
 BLOCK_ROWS, BLOCK_WORDS = 1024, 1_000_000
+#: Links (16 bytes each) that one task joins to components; more are joined by rounds of jobs, each of which costs the driver memory.
+LINKS = 1 << 20
 
 #: texts -> band keys (uint64), sketch (uint8), size, each with one row a text
 Sketch = Callable[[list[str]], tuple[np.ndarray, np.ndarray, np.ndarray]]
@@ -69,9 +71,36 @@ def by_bucket(rows: DataFrame, found: DataFrame, n: int) -> DataFrame:
     return rows.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(SALTS)).cast("int")).join(salted, ["k", "salt"]).drop("salt")
 
 
+def least_ids(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All ids in links (a, b), and the least id of the component of each: larger roots go under smaller ones until no link has two."""
+    ids, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y, root = at[: len(a)], at[len(a) :], np.arange(len(ids))
+    while len(x):
+        x, y = root[x], root[y]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while ((up := root[root]) != root).any():
+            root = up
+        apart = root[x] != root[y]
+        x, y = x[apart], y[apart]
+    return ids, ids[root]
+
+
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
-    """(id, root) of all ids in links (a, b): root is the least id of the component. Labels spread to neighbours, then jump to their label's label."""
-    edges = stored(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    """(id, root) of all ids in links (a, b): root is the least id of the component.
+
+    Up to LINKS of them are joined by one task. Of more, labels spread to neighbours, then jump to their label's label, in rounds of jobs.
+    """
+    links = links.select("a", "b")
+    if links.count() <= LINKS:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = [(column(x, "a").to_numpy(), column(x, "b").to_numpy()) for x in batches if x.num_rows]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in least_ids(*map(np.concatenate, zip(*found, strict=True)))], ["id", "root"])
+            give_back()
+
+        return stored(links.repartition(1).mapInArrow(run, "id long, root long"), "labels")
+    edges = stored(links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = stored(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("root")), "labels")
     while True:
         spread = edges.join(labels, edges["b"] == labels["id"]).groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))

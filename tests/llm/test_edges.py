@@ -249,6 +249,20 @@ def test_components(spark):
     assert got == {x: top(x) for x in up}
 
 
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_chains_of_components_whatever_joins_them(spark, monkeypatch, most):
+    """A chain in no order, a star, a pair and a loop: few links take one table, not one for each round of labels; more give the same."""
+    rng, tables, real = random.Random(19), [], linkage.stored
+    order = rng.sample(range(30), 30)
+    edges = [*zip(order, order[1:]), *((900 - i, 900) for i in range(1, 99)), (2000, 1000), (1000, 2000), (7000, 7000)]  # noqa: B905
+    monkeypatch.setattr(linkage, "LINKS", most)
+    monkeypatch.setattr(linkage, "stored", lambda *a: tables.append(a[1]) or real(*a))
+    got = {r["id"]: r["root"] for r in linkage.components(spark, spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in order} | {i: 802 for i in range(802, 901)} | {1000: 1000, 2000: 1000, 7000: 7000}
+    assert (len(tables) == 1) == (len(edges) <= most)
+    assert linkage.components(spark, spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_mixing(spark, odd, frame):
     levels = {"lang": F.col("lang"), "source": F.col("source")}
     docs = frame([(i, "t " * 10) for i in range(100)] + [(200, None), (201, ""), (5, "t " * 10)], lang={i: "de" for i in range(50)}, source={i: f"s{i % 3}" for i in range(100)})
