@@ -33,6 +33,8 @@ ROUNDS, ODDS, SALTS = 2, 1e-9, 16
 BLOCK_ROWS, BLOCK_WORDS = 1024, 1_000_000
 #: Links (16 bytes each) that one task joins to components; more are joined by rounds of jobs, each of which costs the driver memory.
 LINKS = 1 << 20
+#: Bytes of texts that are sketched at a time; an executor's memory holds a worker of each core beside its heap.
+SKETCHED = 512 << 10
 
 #: texts -> band keys (uint64), sketch (uint8), size, each with one row a text
 Sketch = Callable[[list[str]], tuple[np.ndarray, np.ndarray, np.ndarray]]
@@ -116,16 +118,21 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
             return labels
 
 
+def sketch_batches(batches: Iterator[pa.RecordBatch], sketch: Sketch) -> Iterator[pa.RecordBatch]:
+    """Rows (id, digest, keys, marks, size) of batches (i, d, t), SKETCHED bytes at a time."""
+    for batch in batches:
+        for part in pieces(batch, SKETCHED):
+            texts = texts_of(part, "t")
+            keys, marks, size = sketch(texts)
+            flat = pa.array(np.ascontiguousarray(keys).view(np.int64).ravel())
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * keys.shape[1]), flat)
+            raw, step = np.ascontiguousarray(marks).tobytes(), marks.shape[1]
+            yield pa.RecordBatch.from_arrays([column(part, "i"), column(part, "d"), lists, pa.array([raw[k * step : k * step + step] for k in range(len(texts))], pa.binary()), pa.array(size, pa.int64())], ["id", "digest", "keys", "marks", "size"])
+
+
 def _sketched(docs: DataFrame, sketch: Sketch, text: str, by: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces(batch, 2 << 20):
-                texts = texts_of(part, "t")
-                keys, marks, size = sketch(texts)
-                flat = pa.array(np.ascontiguousarray(keys).view(np.int64).ravel())
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * keys.shape[1]), flat)
-                raw, step = np.ascontiguousarray(marks).tobytes(), marks.shape[1]
-                yield pa.RecordBatch.from_arrays([column(part, "i"), column(part, "d"), lists, pa.array([raw[k * step : k * step + step] for k in range(len(texts))], pa.binary()), pa.array(size, pa.int64())], ["id", "digest", "keys", "marks", "size"])
+        yield from sketch_batches(batches, sketch)
         give_back()
 
     return docs.select(F.col(by).cast("long").alias("i"), _digest(text).alias("d"), F.col(text).alias("t")).mapInArrow(run, "id long, digest binary, keys array<long>, marks binary, size long")

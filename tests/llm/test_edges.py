@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -263,6 +264,17 @@ def test_chains_of_components_whatever_joins_them(spark, monkeypatch, most):
     assert linkage.components(spark, spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_sketches_take_bounded_pieces():
+    """Texts are sketched about half a megabyte at a time, and all of them are."""
+    seen = []
+    sketch = lambda texts: seen.append(sum(map(len, texts))) or near_dedup.sketch(texts)
+    rows = [(i, " ".join(f"t{i}w{k}" for k in range(200))) for i in range(1500)]
+    batch = pa.RecordBatch.from_pydict({"i": [i for i, _ in rows], "d": [b""] * len(rows), "t": [t for _, t in rows]})
+    out = list(linkage.sketch_batches(iter([batch]), sketch))
+    assert sum(b.num_rows for b in out) == len(rows) and sum(seen) == sum(len(t) for _, t in rows)
+    assert len(seen) > 2 and max(seen) <= 576 << 10
+
+
 def test_mixing(spark, odd, frame):
     levels = {"lang": F.col("lang"), "source": F.col("source")}
     docs = frame([(i, "t " * 10) for i in range(100)] + [(200, None), (201, ""), (5, "t " * 10)], lang={i: "de" for i in range(50)}, source={i: f"s{i % 3}" for i in range(100)})
