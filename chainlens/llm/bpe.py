@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from functools import cached_property
 from itertools import chain
 
 import ahocorasick
@@ -25,16 +26,20 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, texts_of
+from .common import kept, map_batches, texts_of
 
 
 class Vocabulary:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
-        self.tails = {b[j:] for b in ranks for j in range(len(b))}  # to stop the search for last tokens early
         self._halves: dict[int, tuple[int, int] | None] = {}
 
+    @cached_property
+    def tails(self) -> set[bytes]:
+        """The ends of all tokens, to stop the search for last tokens early."""
+        return {b[j:] for b in self.ranks for j in range(len(b))}
+
     @classmethod
     def read(cls, path: str) -> Vocabulary:
         with open(path, "rb") as f:
@@ -214,11 +219,14 @@ class Encoder(dict):
         return b"".join(map(self.v.bytes_of.__getitem__, ids))
 
 
+#: Bytes of texts (or ids) that are taken at a time.
+TAKEN = 1 << 20
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
+kept("bpe", _ENCODERS.clear)
 
 
 def encoder(path: str, pattern: str) -> Encoder:
-    """One for each process; the vocabulary file is installed on every executor."""
+    """One for each process, until it does another operator's work; the vocabulary file is installed on every executor."""
     if (path, pattern) not in _ENCODERS:
         _ENCODERS[path, pattern] = Encoder(Vocabulary.read(path), pattern)
     return _ENCODERS[path, pattern]
@@ -232,7 +240,7 @@ def encode(docs: DataFrame, path: str, pattern: str, *, text: str = "text", by:
         e = encoder(path, pattern)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([e.encode(t) for t in texts_of(batch, "t")], pa.list_(pa.int32()))], [by, "ids"])
 
-    return map_batches(docs.select(F.col(by).alias("i"), F.col(text).alias("t")), each, f"`{by}` {kind}, ids array<int>")
+    return map_batches(docs.select(F.col(by).alias("i"), F.col(text).alias("t")), each, f"`{by}` {kind}, ids array<int>", TAKEN, keeps="bpe")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, *, ids: str = "ids", by: str = "doc_id") -> DataFrame:
@@ -243,7 +251,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, *, ids: str = "ids", by:
         e = encoder(path, pattern)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([e.decode(x or []) for x in batch.column(1).to_pylist()], pa.binary())], [by, "bytes"])
 
-    return map_batches(encoded.select(F.col(by).alias("i"), F.col(ids).alias("x")), each, f"`{by}` {kind}, bytes binary")
+    return map_batches(encoded.select(F.col(by).alias("i"), F.col(ids).alias("x")), each, f"`{by}` {kind}, bytes binary", TAKEN, keeps="bpe")
 
 
 def digests(docs: DataFrame, path: str, pattern: str, *, text: str = "text", by: str = "doc_id") -> DataFrame:
@@ -260,4 +268,4 @@ def digests(docs: DataFrame, path: str, pattern: str, *, text: str = "text", by:
             b.append(hashlib.sha256(e.decode(ids)).hexdigest())
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], [by, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return map_batches(docs.select(F.col(by).alias("i"), F.col(text).alias("t")), each, f"`{by}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_batches(docs.select(F.col(by).alias("i"), F.col(text).alias("t")), each, f"`{by}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", TAKEN, keeps="bpe")

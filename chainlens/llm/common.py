@@ -112,21 +112,39 @@ def pieces(batch: pa.RecordBatch, most_bytes: int = 4 << 20) -> Iterator[pa.Reco
         yield batch.slice(at, step)
 
 
-def give_back() -> None:
+#: How to let go of what an operator keeps in a worker for its next task, by the operator's name.
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def kept(name: str, clear: Callable[[], None]) -> None:
+    """The operator of that name keeps something in its workers, which clear() frees."""
+    _KEPT[name] = clear
+
+
+def make_room(keeps: str = "") -> None:
+    """Frees what other operators than keeps have left in this worker: workers live on, and stand beside an executor's heap."""
+    for name, clear in _KEPT.items():
+        if name != keeps:
+            clear()
+
+
+def give_back(keeps: str = "") -> None:
     """Ends a task's work: caches go, and freed memory goes back to the system, as workers live on beside others."""
     _WORDS.clear()
+    make_room(keeps)
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """df.mapInArrow, with fn called on slices of bounded size."""
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, most_bytes: int = 4 << 20, keeps: str = "") -> DataFrame:
+    """df.mapInArrow, with fn called on slices of bounded size; keeps: the operator, if it has something for its next task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room(keeps)
         for batch in batches:
-            for part in pieces(batch):
+            for part in pieces(batch, most_bytes):
                 yield fn(part)
-        give_back()
+        give_back(keeps)
 
     return df.mapInArrow(run, schema)
 

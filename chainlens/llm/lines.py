@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, dropped, free_name, give_back, mix, pieces, stored
+from .common import column, dropped, free_name, give_back, make_room, mix, pieces, stored
 
 MIN_CHARS, MIN_DOCS, SHARD_KEYS, INDEX_BYTES, PARTS = 40, 5, 200_000, 64 << 20, 8
 _SPACE = b" \t\n\x0b\x0c\r"
@@ -93,6 +93,7 @@ def _hashed(docs: DataFrame, min_chars: int, text: str, by: str) -> DataFrame:
     """(h, f, id): a row for each different long key of each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         for batch in batches:
             for part in pieces(batch):
                 ids, found = [], []
@@ -166,6 +167,7 @@ def _cut(docs: DataFrame, drops, min_chars: int, text: str, lines: str, cut: str
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         for batch in batches:
             for part in pieces(batch):
                 split = [keys_of(t, min_chars) for t in column(part, text).to_pylist()]

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, dropped, give_back, mix, pieces, shingle_hashes, small, stored, texts_of
+from .common import column, dropped, give_back, make_room, mix, pieces, shingle_hashes, small, stored, texts_of
 
 ROUNDS, ODDS, SALTS = 2, 1e-9, 16
 #: Members and words of a block of a bucket that is settled in one task; larger buckets have several blocks, and a task for each two of them.
@@ -132,6 +132,7 @@ def sketch_batches(batches: Iterator[pa.RecordBatch], sketch: Sketch) -> Iterato
 
 def _sketched(docs: DataFrame, sketch: Sketch, text: str, by: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         yield from sketch_batches(batches, sketch)
         give_back()
 

@@ -348,6 +348,29 @@ def test_bpe(spark, odd):
     assert bpe.encode(odd.limit(0), PATH, PATTERN).count() == 0
 
 
+def test_encoders_go_before_other_work(spark):
+    """A worker keeps the encoder from task to task, but not beside another operator's texts."""
+
+    class Frame:
+        """Gives what would run in a worker."""
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            return run
+
+    same = lambda batch: batch
+    batch = pa.RecordBatch.from_pydict({"i": [1], "d": [b""], "t": ["a text"]})
+    others = [common.map_batches(Frame(), same, ""), lines._hashed(Frame(), 40, "t", "i"), linkage._sketched(Frame(), near_dedup.sketch, "t", "i")]
+    for run in others:
+        kept = bpe.encoder(PATH, PATTERN)
+        list(common.map_batches(Frame(), same, "", keeps="bpe")(iter([batch])))
+        assert bpe.encoder(PATH, PATTERN) is kept and kept.encode("thingummy") and "tails" not in vars(kept.v)
+        next(run(iter([batch])))
+        assert not bpe._ENCODERS
+
+
 def test_topk(spark):
     rng = np.random.default_rng(8)
     vectors = [(int(i), [float(x) for x in v], "x") for i, v in zip(rng.permutation(400), rng.integers(-3, 4, (400, 6)) / 256, strict=True)]
