@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.ed25519 import SigningKey
 from ..functions.record import Record
 from ..functions.strict_json import parse
-from ..operators.seal import Sealer, payload_record, seal_lines
+from ..operators.seal import Sealer, payload_record, seal_lines, seal_table
 from . import scratch
 
 
@@ -68,6 +68,6 @@ def sealed_events(spark: SparkSession, sf_dir: str, seed: bytes | None = None, p
     made = spark.sparkContext.applicationId, sf_dir, f"{seed!r}{profile}{per_segment}"
     if made not in _LOGS:
         directory = scratch.new_dir(spark, "log")
-        root = write_log(spark, payload_records(events_as_records(table(spark, sf_dir, "events"))), directory, SigningKey(seed) if seed else None, profile, per_segment)
+        root = seal_table(events_as_records(table(spark, sf_dir, "events")), directory, SigningKey(seed) if seed else None, profile, per_segment)
         _LOGS[made] = directory, root
     return _LOGS[made]
