@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -47,6 +48,30 @@ class LenientReport:
         return "\n".join(out)
 
 
+class Outcomes(Sequence):
+    """An entry a record: valid ones, which are made as they are asked for, however many there are, and the failure that ends a run."""
+
+    def __init__(self, valid: int = 0, failure: dict[str, Any] | None = None):
+        self.valid, self.failure = valid, failure
+
+    def __len__(self) -> int:
+        return self.valid + (self.failure is not None)
+
+    def __getitem__(self, at):
+        if isinstance(at, slice):
+            return [self[i] for i in range(*at.indices(len(self)))]
+        i = range(len(self))[at]
+        return {"sequence": i + 1, "outcome": "valid"} if i < self.valid else self.failure
+
+    def __eq__(self, other: object) -> bool:
+        if isinstance(other, Outcomes):
+            return (self.valid, self.failure) == (other.valid, other.failure)
+        return isinstance(other, Sequence) and list(self) == list(other)
+
+    def __repr__(self) -> str:
+        return f"Outcomes({self.valid}, {self.failure})"
+
+
 @dataclass
 class StrictReport:
     status: str = "valid"
@@ -57,11 +82,11 @@ class StrictReport:
     signatures_verified: int = 0
     expected_pubkey_fp: str = ""
     chain_root: str = ""
-    records: list[dict[str, Any]] = field(default_factory=list)
+    records: Sequence[dict[str, Any]] = field(default_factory=Outcomes)
     error: str | None = None
 
     def as_dict(self) -> dict[str, Any]:
-        return dict(self.__dict__)
+        return self.__dict__ | {"records": list(self.records)}
 
     def text(self) -> str:
         out = [f"Status: {self.status.upper()}", "Profile:             strict", f"Verifier version:    {self.verifier_version}", f"Events verified:     {self.events_verified}", f"Signatures verified: {self.signatures_verified}", f"Expected pubkey fp:  {self.expected_pubkey_fp}"]

@@ -11,7 +11,6 @@ import json
 from collections.abc import Iterator
 from typing import Any
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,10 +22,11 @@ from ..functions.record import Record
 from ..functions.strict_json import JsonError, dumps, parse
 from ..operators import splits
 from ..operators.digest import ASCII_BLANK
+from ..operators.root import chain_root
 from ..sources import segments
-from .reports import StrictReport, envelope
+from .reports import Outcomes, StrictReport, envelope
 
-# Fixed values of the profile.
+# Fixed values of the profile. The first bounds what a host page is given; a caller with a whole log of its own can lift it.
 MAX_RECORDS = 100_000
 MAX_LINE_BYTES = 1 << 20
 MAX_PAYLOAD_BYTES = 64 << 10
@@ -38,7 +38,7 @@ TOO_MANY, LINE_SIZE, SYNTAX, UNKNOWN_KEY, TYPING, VERSION, ALG, UNSIGNED, SIGNAT
 Failure = tuple[int, str, dict[str, Any]]
 
 _SIDE = "sequence string, ts long, hash string, line long"
-_PART = f"name string, block long, part int, lines long, filled long, records long, hashes binary, head struct<{_SIDE}>, tail struct<{_SIDE}>, failure struct<record long, line long, rank int, kind string, sequence string, version long, reason string>"
+_PART = f"name string, block long, part int, first_record long, lines long, filled long, records long, hashes binary, head struct<{_SIDE}>, tail struct<{_SIDE}>, failure struct<record long, line long, rank int, kind string, sequence string, version long, reason string>"
 _P_SIDE = pa.struct([("sequence", pa.string()), ("ts", pa.int64()), ("hash", pa.string()), ("line", pa.int64())])
 _P_FAILURE = pa.struct([("record", pa.int64()), ("line", pa.int64()), ("rank", pa.int32()), ("kind", pa.string()), ("sequence", pa.string()), ("version", pa.int64()), ("reason", pa.string())])
 
@@ -120,8 +120,8 @@ REJECTED = frozenset("parse_error unsupported_format_version unsupported_hash_al
 class StrictReader:
     """Reads a block up to its first failure."""
 
-    def __init__(self, pin: bytes, iso: bool):
-        self.pin, self.iso = pin, iso
+    def __init__(self, pin: bytes, iso: bool, most: int | None):
+        self.pin, self.iso, self.most = pin, iso, most
 
     def open(self, name: str, block: int) -> None:
         self.name, self.block, self.part, self.line, self.filled, self.record = name, block, 0, 0, 0, 0
@@ -142,7 +142,7 @@ class StrictReader:
             if not line.strip(ASCII_BLANK):
                 continue
             filled += 1
-            if self.ended or stop or self.filled + filled > MAX_RECORDS + 1:
+            if self.ended or stop or self.most is not None and self.filled + filled > self.most + 1:
                 continue
             r, declared, failure = decoded(line, self.iso)
             if r is not None:
@@ -190,8 +190,8 @@ class StrictReader:
             failed = {"record": self.record + n, "line": line, "rank": rank, "kind": kind, "sequence": str(r.sequence) if r else None, "version": r.format_version if r else None, "reason": dumps(reason, sort=False)}
             self.ended = True
         hashes = digests[:n].tobytes() if n else b""
-        cols = [pa.array([self.name], pa.string()), pa.array([self.block], pa.int64()), pa.array([self.part], pa.int32()), pa.array([len(lines)], pa.int64()), pa.array([filled], pa.int64()), pa.array([n], pa.int64()), pa.array([hashes], pa.binary()), pa.array([head], _P_SIDE), pa.array([tail], _P_SIDE), pa.array([failed], _P_FAILURE)]
-        yield pa.RecordBatch.from_arrays(cols, ["name", "block", "part", "lines", "filled", "records", "hashes", "head", "tail", "failure"])
+        cols = [pa.array([self.name], pa.string()), pa.array([self.block], pa.int64()), pa.array([self.part], pa.int32()), pa.array([self.record], pa.int64()), pa.array([len(lines)], pa.int64()), pa.array([filled], pa.int64()), pa.array([n], pa.int64()), pa.array([hashes], pa.binary()), pa.array([head], _P_SIDE), pa.array([tail], _P_SIDE), pa.array([failed], _P_FAILURE)]
+        yield pa.RecordBatch.from_arrays(cols, ["name", "block", "part", "first_record", "lines", "filled", "records", "hashes", "head", "tail", "failure"])
         self.line += len(lines)
         self.filled += filled
         self.record += n
@@ -203,7 +203,9 @@ def _error(report: StrictReport, text: str) -> StrictReport:
     return report
 
 
-def verify_scan(scan: DataFrame, expected_pubkey: str, expected_root: str, manifest_version: int = 1, *, iso: bool = True) -> StrictReport:
+def verify_scan(scan: DataFrame, expected_pubkey: str, expected_root: str, manifest_version: int = 1, *, iso: bool = True, capped: bool = True) -> StrictReport:
+    """capped: a log of more than MAX_RECORDS records is rejected, as the profile says; without, a log of any length is verified whole."""
+    most = MAX_RECORDS if capped else None
     key_text, root = record.normalized_anchor(expected_pubkey), record.normalized_anchor(expected_root)
     out = StrictReport(verifier_version=__version__, manifest_version_used=manifest_version, expected_pubkey_fp=record.fingerprint(key_text))
     if problem := _hex_text(key_text, 64):
@@ -213,15 +215,15 @@ def verify_scan(scan: DataFrame, expected_pubkey: str, expected_root: str, manif
         return _error(out, messages.S_PUBKEY_POINT)
     if _hex_text(root, 64):
         return _error(out, messages.S_ROOT_HEX.format(found=len(root.encode())))
-    parts = splits.split_map(scan, lambda: StrictReader(pin, iso), _PART).persist()
+    parts = splits.split_map(scan, lambda: StrictReader(pin, iso, most), _PART).persist()
     try:
-        return _concluded(out, parts, root)
+        return _concluded(out, parts, root, most)
     finally:
         parts.unpersist()
 
 
-def _concluded(out: StrictReport, parts: DataFrame, root: str) -> StrictReport:
-    # a row a block up to the first failure; the profile takes 100,000 records at most, so these are few
+def _concluded(out: StrictReport, parts: DataFrame, root: str, most: int | None) -> StrictReport:
+    # a row a block up to the first failure
     rows = parts.groupBy("name", "block").agg(F.sum("lines").alias("lines"), F.sum("filled").alias("filled"), F.sum("records").alias("records"), F.expr("min_by(head, part) FILTER (WHERE head IS NOT NULL)").alias("head"), F.expr("max_by(tail, part) FILTER (WHERE tail IS NOT NULL)").alias("tail"), F.expr("min_by(failure, part) FILTER (WHERE failure IS NOT NULL)").alias("failure")).orderBy("name", "block")
     line = filled = n = 0
     before: tuple[str, int, int] | None = None
@@ -240,10 +242,10 @@ def _concluded(out: StrictReport, parts: DataFrame, root: str) -> StrictReport:
             if seam and not (failure and failure["record"] == 0 and failure["rank"] < seam[0]):
                 rank, kind, reason = seam
                 failure, own = {"record": 0, "line": head["line"], "rank": rank, "kind": kind, "sequence": head["sequence"], "version": record.FORMAT_VERSION, "reason": dumps(reason, sort=False)}, 0
-        room = MAX_RECORDS - filled
+        room = b["filled"] if most is None else most - filled
         at = failure["record"] if failure else own
         if (b["filled"] > room) and at >= room:
-            failure, own = {"record": room, "line": line, "rank": TOO_MANY, "kind": "too_many_records", "sequence": None, "version": None, "reason": f'{{"limit":{MAX_RECORDS}}}'}, room
+            failure, own = {"record": room, "line": line, "rank": TOO_MANY, "kind": "too_many_records", "sequence": None, "version": None, "reason": f'{{"limit":{most}}}'}, room
         elif failure:
             own = failure["record"]
         covered.append((b["name"], b["block"], n, own))
@@ -257,14 +259,15 @@ def _concluded(out: StrictReport, parts: DataFrame, root: str) -> StrictReport:
         filled += b["filled"]
     out.events_verified = out.signatures_verified = n
     out.wal_format_version_seen = max(record.FORMAT_VERSION if n else 0, (failed or {}).get("version") or 0)
-    out.records = [{"sequence": k, "outcome": "valid"} for k in range(1, n + 1)]
+    last = None
     if failed:
         kind = failed["kind"]
         reason = {"kind": kind} | json.loads(failed["reason"])
         if kind == "parse_error":
             reason["line"] = failed["line"] + 1
         sequence = int(failed["sequence"]) if failed["sequence"] is not None else n + 1
-        out.records.append({"sequence": sequence, "outcome": "rejected" if kind in REJECTED else "invalid", "reason": reason})
+        last = {"sequence": sequence, "outcome": "rejected" if kind in REJECTED else "invalid", "reason": reason}
+    out.records = Outcomes(n, last)
     out.chain_root = _root(parts, covered, n)
     if failed:
         out.status = "invalid"
@@ -274,22 +277,14 @@ def _concluded(out: StrictReport, parts: DataFrame, root: str) -> StrictReport:
 
 
 def _root(parts: DataFrame, covered: list[tuple[str, int, int, int]], count: int) -> str:
-    spark = parts.sparkSession
-    if not count:
-        return blake3.EMPTY.hex()
-    # 3.2 MB of hashes at most
-    held = {(r["name"], r["block"], r["part"]): r["hashes"] for r in parts.where("records > 0").join(F.broadcast(spark.createDataFrame([c[:2] for c in covered], "name string, block long")), ["name", "block"]).select("name", "block", "part", "hashes").collect()}
-    data = bytearray()
-    for name, block, _, n in covered:
-        own = b"".join(held[k] for k in sorted(k for k in held if k[:2] == (name, block)))
-        data += own[: 32 * n]
-    hashes = blake3.ListHash()
-    hashes.extend(np.frombuffer(bytes(data), np.uint8).reshape(-1, 32))
-    return hashes.digest().hex()
-
-
-def verify_directory(spark: SparkSession, directory: str, expected_pubkey: str, expected_root: str, manifest_version: int = 1) -> StrictReport:
-    return verify_scan(segments.scan_directory(spark, directory), expected_pubkey, expected_root, manifest_version)
+    """The root of the records that count."""
+    blocks = parts.sparkSession.createDataFrame(covered, "name string, block long, at long, own long")
+    held = parts.where("records > 0").join(splits.small(blocks, len(covered)), ["name", "block"]).where("first_record < own")
+    return chain_root(held.select((F.col("at") + F.col("first_record")).alias("start"), F.expr("substring(hashes, 1, int(32 * least(records, own - first_record)))").alias("hashes")), count)
+
+
+def verify_directory(spark: SparkSession, directory: str, expected_pubkey: str, expected_root: str, manifest_version: int = 1, *, capped: bool = True) -> StrictReport:
+    return verify_scan(segments.scan_directory(spark, directory), expected_pubkey, expected_root, manifest_version, capped=capped)
 
 
 def verify_bytes(spark: SparkSession, data: bytes, expected_pubkey: str, expected_root: str, manifest_version: int = 1, parts: int = 1, *, iso: bool = True) -> StrictReport:
