@@ -190,19 +190,26 @@ def wal_stats(spark, sf_dir):
     return _row(spark, **{n: s[n] for n in names}, **s["integrity"], streams=len(s["stream_ids"]))
 
 
-@query(f"SELECT DISTINCT source AS stream_id FROM ({_EVENTS})")
-def stream_ids_sorted(spark, sf_dir):
-    """Of a log whose records have stream ids; its lines are the sealed ones with that field set."""
-    directory, _ = tables.sealed_events(spark, sf_dir, SEED)
-    lines = spark.read.text(directory).select(F.to_json(F.struct(F.lit("s").alias("event_id"), F.get_json_object("value", "$.source").alias("stream_id"))).alias("more"), "value")
-    out = scratch.new_dir(spark, "streams")
-    lines.select(F.concat(F.expr("substring(more, 1, length(more) - 1)"), F.lit(","), F.expr("substring(regexp_replace(value, '\"(event_id|stream_id)\":null,?', ''), 2)")).alias("value")).write.mode("overwrite").text(out + "/raw")
+def _as_segments(lines: DataFrame, label: str) -> str:
+    """Writes lines (value) as a log of a segment a partition, in their order; returns its directory."""
+    spark = lines.sparkSession
+    out = scratch.new_dir(spark, label)
+    lines.write.mode("overwrite").text(f"{out}/raw")
     at, fs = scratch.file_system(spark, out)
     fs.mkdirs(at(f"{out}/log"))
     parts = sorted(s.getPath().getName() for s in fs.listStatus(at(f"{out}/raw")) if s.getPath().getName().startswith("part-"))
     for n, part in enumerate(parts):
         fs.rename(at(f"{out}/raw/{part}"), at(f"{out}/log/{n:08d}.jsonl"))
-    return spark.createDataFrame([(s,) for s in inspect.stats(spark, f"{out}/log")["stream_ids"]], "stream_id string")
+    return f"{out}/log"
+
+
+@query(f"SELECT DISTINCT source AS stream_id FROM ({_EVENTS})")
+def stream_ids_sorted(spark, sf_dir):
+    """Of a log whose records have stream ids; its lines are the sealed ones with that field set."""
+    directory, _ = tables.sealed_events(spark, sf_dir, SEED)
+    lines = spark.read.text(directory).select(F.to_json(F.struct(F.lit("s").alias("event_id"), F.get_json_object("value", "$.source").alias("stream_id"))).alias("more"), "value")
+    log = _as_segments(lines.select(F.concat(F.expr("substring(more, 1, length(more) - 1)"), F.lit(","), F.expr("substring(regexp_replace(value, '\"(event_id|stream_id)\":null,?', ''), 2)")).alias("value")), "streams")
+    return spark.createDataFrame([(s,) for s in inspect.stats(spark, log)["stream_ids"]], "stream_id string")
 
 
 @query(f"""SELECT sequence, rank, error_type FROM (
@@ -678,13 +685,8 @@ def damaged_log_errors(spark, sf_dir):
     own = F.get_json_object("value", "$.sequence").cast("long").alias("sequence")
     lines = spark.read.text(directory).select(own, "value").where(f"NOT ({_LOST})").orderBy("sequence")
     edited = F.when(F.expr(_EDITED), F.regexp_replace("value", '"event_type":"', '"event_type":"x')).otherwise(F.col("value"))
-    out = scratch.new_dir(spark, "damaged")
-    lines.select(edited.alias("value")).coalesce(1).write.mode("overwrite").text(f"{out}/raw")
-    at, fs = scratch.file_system(spark, out)
-    found = [s.getPath() for s in fs.listStatus(at(f"{out}/raw")) if s.getPath().getName().startswith("part-")]
-    fs.mkdirs(at(f"{out}/log"))
-    fs.rename(found[0], at(f"{out}/log/00000000.jsonl"))
-    v = lenient.LenientVerification(segments.scan_directory(spark, f"{out}/log"), lenient.Options(trusted_pubkey=SigningKey(SEED).public.hex()))
+    log = _as_segments(lines.select(edited.alias("value")), "damaged")
+    v = lenient.LenientVerification(segments.scan_directory(spark, log), lenient.Options(trusted_pubkey=SigningKey(SEED).public.hex()))
     return v.errors.select(F.col("sequence").cast("long").alias("sequence"), "error_type")
 
 
